@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, quality_rules, simhash
+from . import bpe, exact_dedup, quality_rules, simhash, substring_dedup
 from .sql import ORACLES
 
 QUERIES = {
     f.__name__: f
     for f in (
+        substring_dedup.op1_substring_dedup,
         bpe.op2_bpe,
         quality_rules.op4_quality_rules,
         simhash.op8_simhash,
