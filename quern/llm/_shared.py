@@ -76,3 +76,9 @@ def words(text: Column) -> Column:
     """The words of a text; none for null."""
     plain = F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * 5)
     return F.filter(F.split(plain, " ", -1), lambda w: w != F.lit(""))
+
+
+def n_words(text: Column) -> Column:
+    """The number of words of a text; none for null."""
+    plain = F.trim(F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * 5))
+    return F.when(plain == "", 0).otherwise(F.size(F.split(plain, " +", -1))).cast("long")

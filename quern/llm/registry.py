@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, quality_rules, simhash, substring_dedup
+from . import bpe, exact_dedup, mixing, quality_rules, simhash, substring_dedup
 from .sql import ORACLES
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
         substring_dedup.op1_substring_dedup,
         bpe.op2_bpe,
         quality_rules.op4_quality_rules,
+        mixing.op5_mixing,
         simhash.op8_simhash,
         exact_dedup.op9_exact_dedup,
     )
