@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, quality_rules, simhash, substring_dedup
+from . import bpe, exact_dedup, mixing, quality_rules, secrets, simhash, substring_dedup
 from .sql import ORACLES
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
         bpe.op2_bpe,
         quality_rules.op4_quality_rules,
         mixing.op5_mixing,
+        secrets.op6_secrets,
         simhash.op8_simhash,
         exact_dedup.op9_exact_dedup,
     )

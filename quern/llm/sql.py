@@ -1,5 +1,11 @@
 """DuckDB SQL that gives the rows of those queries that SQL can express."""
 
+from . import secrets
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
 ORACLES = {}
 
 ORACLES["op9_exact_dedup"] = """
@@ -32,3 +38,34 @@ SELECT doc_id, ran.source, n_tokens, CAST(h // 16777216 AS INTEGER) AS block,
   CAST(passes + CAST(upto <= rest AND tokens > 0 AS BIGINT) AS BIGINT) AS copies
 FROM ran JOIN r ON ran.source IS NOT DISTINCT FROM r.source JOIN t ON ran.source IS NOT DISTINCT FROM t.source
 """
+
+
+def _matches(kind: int, pattern: str, value: int, keep: str) -> str:
+    p = _quoted(pattern)
+    return f"""
+SELECT * FROM (
+  SELECT *, sum(length(piece) + length(coalesce(found, ''))) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
+    SELECT doc_id, source, lang, {kind} AS kind, unnest(string_split_regex(text, {p})) AS piece, unnest(regexp_extract_all(text, {p}, 0)) AS found,
+      unnest(regexp_extract_all(text, {p}, {value})) AS val, unnest(range(len(string_split_regex(text, {p})))) AS i
+    FROM documents WHERE regexp_matches(text, {p})))
+WHERE found IS NOT NULL AND {keep}"""
+
+
+ORACLES["op6_secrets"] = f"""
+WITH base AS MATERIALIZED (
+  {_matches(0, secrets.ASSIGN, 2, "length(val) >= 8")} UNION ALL {_matches(1, secrets.ACCESS, 0, "true")} UNION ALL {_matches(2, secrets.HEX, 0, "true")}),
+mixed AS ({_matches(3, secrets.MIXED, 0, "regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[a-z]')")}),
+c AS MATERIALIZED (
+  SELECT doc_id, source, lang, kind, CAST(stop - length(found) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, val FROM (
+    SELECT * FROM base UNION ALL
+    SELECT * FROM mixed m WHERE NOT EXISTS (
+      SELECT 1 FROM base b WHERE b.doc_id = m.doc_id AND b.stop - length(b.found) < m.stop AND m.stop - length(m.found) < b.stop))),
+f AS (SELECT val, count(DISTINCT source) AS owners FROM c GROUP BY val),
+k AS (SELECT c.*, owners <= 2 AS live, ['assign', 'access', 'hex', 'mixed'][kind + 1] || ':' || start || ':' || stop AS span
+  FROM c JOIN f USING (val) WHERE kind < 3 OR owners <= 2)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY start, kind), '') AS spans,
+  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
+FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id
+"""
