@@ -56,11 +56,12 @@ class Scratch:
 def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], how: str, salts: int = SALTS) -> DataFrame:
     """rows joined to few, which has a row for each key at most; null keys match null keys.
 
-    A hot key's rows are dealt to `salts` tasks; each row of few is sent to all of them.
+    A hot key's rows are dealt to `salts` tasks; each row of few is sent to all of them. The join
+    merges at every size, so that a plan tried on little data is the plan for much.
     """
     rows = rows.withColumn("__salt", (F.monotonically_increasing_id() % salts).cast("int"))
     few = few.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    few = few.select(*[F.col(c).alias(f"__few_{c}") if c in (*keys, "__salt") else F.col(c) for c in few.columns])
+    few = few.hint("merge").select(*[F.col(c).alias(f"__few_{c}") if c in (*keys, "__salt") else F.col(c) for c in few.columns])
     on = F.col("__salt") == F.col("__few___salt")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__few_{k}"))
