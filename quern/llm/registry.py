@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, quality_rules, secrets, simhash, substring_dedup
+from . import bpe, exact_dedup, mixing, pii, quality_rules, secrets, simhash, substring_dedup
 from .sql import ORACLES
 
 QUERIES = {
@@ -15,6 +15,7 @@ QUERIES = {
         secrets.op6_secrets,
         simhash.op8_simhash,
         exact_dedup.op9_exact_dedup,
+        pii.op10_pii,
     )
 }
 
