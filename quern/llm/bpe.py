@@ -159,9 +159,6 @@ class TrieEncoder:
 
     def learn(self, pieces: set[bytes]) -> None:
         """Encode pieces of text that the cache lacks."""
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-            self.words.clear()
         parts = {p: self.parts(p) for p in pieces}
         self.encode_words({w for ws in parts.values() for w in ws if not isinstance(w, int)} - self.words.keys())
         for p, ws in parts.items():
@@ -196,6 +193,9 @@ class TrieEncoder:
     def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         cut = [(t or "").encode().split() for t in texts]
         known = self.pieces
+        if len(known) > CACHE:  # not while pieces of these texts are looked up
+            known.clear()
+            self.words.clear()
         self.learn({p for ps in cut for p in ps if p not in known})
         out = []
         for ps in cut:

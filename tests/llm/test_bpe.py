@@ -40,3 +40,11 @@ def test_edges(spark):
     assert encode_documents(docs.limit(0), default_path()).count() == 0
     got = docs.filter("text = 'hi'").select(bpe(F.col("text"), default_path(), texts=True).alias("r")).first().r
     assert (got.ids, got.decoded) == (encoder(default_path()).words["hi"], "hi</w>")
+
+
+def test_full_cache(monkeypatch):
+    library, own = Tokenizer.from_file(default_path()), encoder(default_path())
+    monkeypatch.setattr("quern.llm.bpe.CACHE", 5)
+    for texts in (["one two three four five six", "seven one"], ["six seven eight nine ten", "one ten"], ["one two", "eight six"]):
+        for text, (ids, decoded) in zip(texts, own.encode_all(texts)):
+            check(library, text, ids, decoded)
