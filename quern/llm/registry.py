@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, pii, quality_rules, secrets, simhash, substring_dedup
+from . import bpe, exact_dedup, mixing, pii, quality_mil, quality_rules, secrets, simhash, substring_dedup, toxicity
 from .sql import ORACLES
 
 QUERIES = {
@@ -10,9 +10,11 @@ QUERIES = {
     for f in (
         substring_dedup.op1_substring_dedup,
         bpe.op2_bpe,
+        toxicity.op3_toxicity,
         quality_rules.op4_quality_rules,
         mixing.op5_mixing,
         secrets.op6_secrets,
+        quality_mil.op7_quality_mil,
         simhash.op8_simhash,
         exact_dedup.op9_exact_dedup,
         pii.op10_pii,
