@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._shared import documents
 
 #: Pieces a worker remembers before it starts afresh.
-CACHE = 300_000
+CACHE = 600_000
 
 #: Text that NFC leaves alone and that has no white space: printable ASCII and composed Latin letters.
 LATIN = re.compile("[!-~\u00c0-\u024f]+")
@@ -59,7 +59,8 @@ class TrieEncoder:
         self.rank = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(model["merges"])}
         self.halves = {made: (a, b) for (a, b), (_, made) in reversed(self.rank.items())}
         self.made_at = {made: r for (_, (r, made)) in reversed(self.rank.items())}
-        self.vocab = vocab
+        self.number = {i: b"%d" % i for i in self.token}
+        self.text_of = {self.number[i]: t for i, t in self.token.items()}
         symbols = _byte_symbols()
         self.symbols = dict(enumerate(symbols))
         split = spec["pre_tokenizer"]["pretokenizers"][0]
@@ -75,8 +76,8 @@ class TrieEncoder:
                 node = node[1].setdefault(s, [None, {}])
             node[0] = i
         self.fits: dict[int, bool] = {}
-        self.pieces: dict[bytes, tuple[bytes, str]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.pieces: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.split_added = re.compile(b"(" + b"|".join(re.escape(a.encode()) for a in sorted(self.added, key=len, reverse=True)) + b")") if self.added else None
 
     def spell(self, token: str) -> list[str]:
@@ -104,37 +105,42 @@ class TrieEncoder:
                 limit, a = ra, self.halves[a][1]
             else:  # b was; a merge of the same rank at the border would have come first
                 limit, b = rb + 1, self.halves[b][0]
-        if len(self.fits) > CACHE:
+        if len(self.fits) > CACHE // 2:
             self.fits.clear()
         self.fits[left << 32 | right] = fits
         return fits
 
     def encode_words(self, words) -> None:
-        """Put the ids of all words (strings of byte symbols) into self.words, by one trie."""
+        """Put the decimal ids of all words (strings of byte symbols) into self.words, by one trie."""
         trie: dict = {}
         for word in words:
             node = trie
             for s in word[:-1]:
-                node = node.setdefault(s, {})
+                below = node.get(s)
+                if below is None:
+                    below = node[s] = {}
+                node = below
             node[word[-1] + self.end] = word
-        # A stack of (node, depth): path[:depth] are the symbols, last[d] and back[d] the states.
+        # Depth first: path[:d] are the symbols above, last[d] and back[d] the state after them.
         path: list[str] = []
         last: list[int] = [-1]
         back: list[int] = [0]
-        stack = [(0, s, child) for s, child in trie.items()]
+        number, stack = self.number, [(0, s, child) for s, child in trie.items()]
         while stack:
             depth, s, child = stack.pop()
-            del path[depth:], last[depth + 1 :], back[depth + 1 :]
+            if depth < len(path):
+                del path[depth:], last[depth + 1 :], back[depth + 1 :]
             path.append(s)
             self.extend(path, last, back)
-            if isinstance(child, str):
-                ids, d = [], depth + 1
-                while d:
-                    ids.append(last[d])
-                    d = back[d]
-                self.words[child] = ids[::-1]
+            depth += 1
+            if child.__class__ is str:
+                ids = []
+                while depth:
+                    ids.append(number[last[depth]])
+                    depth = back[depth]
+                self.words[child] = b" ".join(ids[::-1])
             else:
-                stack += [(depth + 1, t, c) for t, c in child.items()]
+                stack += [(depth, t, c) for t, c in child.items()]
 
     def extend(self, path: list[str], last: list[int], back: list[int]) -> None:
         """The last token of path, whose shorter prefixes are done."""
@@ -160,18 +166,21 @@ class TrieEncoder:
     def learn(self, pieces: set[bytes]) -> None:
         """Encode pieces of text that the cache lacks."""
         parts = {p: self.parts(p) for p in pieces}
-        self.encode_words({w for ws in parts.values() for w in ws if not isinstance(w, int)} - self.words.keys())
+        words = self.words
+        self.encode_words({w for ws in parts.values() for w in ws if w not in words})
         for p, ws in parts.items():
-            ids = [i for w in ws for i in ([w] if isinstance(w, int) else self.words[w])]
-            self.pieces[p] = (b" ".join(b"%d" % i for i in ids), self.decode(ids))
-
-    def parts(self, piece: bytes) -> list:
-        """Words of byte symbols, and ids of added tokens."""
-        out: list = []
-        for part in self.split_added.split(piece) if self.split_added and b"<|" in piece else [piece]:
+            self.pieces[p] = words[ws[0]] if len(ws) == 1 else b" ".join([words[w] for w in ws])
+
+    def parts(self, piece: bytes) -> list[str]:
+        """Words of byte symbols, and added tokens."""
+        if self.split_added is None or b"<|" not in piece:
+            return self.cut_words(piece.decode())
+        out: list[str] = []
+        for part in self.split_added.split(piece):
             text = part.decode()
             if text in self.added:
-                out.append(self.added[text])
+                out.append(text)
+                self.words[text] = b"%d" % self.added[text]
             elif text:
                 out += self.cut_words(text)
         return out
@@ -183,25 +192,20 @@ class TrieEncoder:
             return found if text.isascii() else [w.encode().decode("latin-1").translate(self.symbols) for w in found]
         return [w for w, _ in self.pre_tokenize(self.normalize(text))]
 
-    def decode(self, ids) -> str:
-        return " ".join(self.token[i] for i in ids)
-
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """Decimal ids joined by spaces, and the decoded text."""
-        return self.encode_all([text])[0]
+    def decode(self, ids: bytes) -> str:
+        """The text that the library decodes from decimal ids: this file names no decoder."""
+        return " ".join([self.text_of[i] for i in ids.split()])
 
-    def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Decimal ids joined by spaces, for each text."""
         cut = [(t or "").encode().split() for t in texts]
         known = self.pieces
         if len(known) > CACHE:  # not while pieces of these texts are looked up
             known.clear()
             self.words.clear()
         self.learn({p for ps in cut for p in ps if p not in known})
-        out = []
-        for ps in cut:
-            got = [known[p] for p in ps]
-            out.append((b" ".join([g[0] for g in got if g[0]]), " ".join([g[1] for g in got if g[0]])))
-        return out
+        get = known.__getitem__
+        return [b" ".join(filter(None, map(get, ps))) for ps in cut]
 
 
 _encoders: dict[str, TrieEncoder] = {}
@@ -214,7 +218,7 @@ def encoder(path: str) -> TrieEncoder:
 
 
 #: Texts encoded together; their new words share a trie.
-TOGETHER = 512
+TOGETHER = 1024
 
 
 def bpe(text: Column, path: str, texts: bool = False) -> Column:
@@ -225,7 +229,8 @@ def bpe(text: Column, path: str, texts: bool = False) -> Column:
     def run(column: pa.Array) -> pa.Array:
         enc, rows = encoder(path), []
         for i in range(0, len(column), TOGETHER):
-            for ids, decoded in enc.encode_all(column.slice(i, TOGETHER).to_pylist()):
+            for ids in enc.encode_all(column.slice(i, TOGETHER).to_pylist()):
+                decoded = enc.decode(ids)
                 row = {"n_tokens": ids.count(b" ") + 1 if ids else 0, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(decoded.encode()).hexdigest()}
                 rows.append(row | {"ids": [int(x) for x in ids.split()], "decoded": decoded} if texts else row)
         fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
