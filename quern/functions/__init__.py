@@ -1 +1 @@
-
+"""Scalar building blocks: quantiles and error functions."""

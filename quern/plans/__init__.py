@@ -1 +1 @@
-
+"""From SQL text with an error clause to estimator calls."""

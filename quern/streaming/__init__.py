@@ -1 +1 @@
-
+"""Streams that feed samples and top-K tables."""
