@@ -45,13 +45,13 @@ def engine(spark: SparkSession, sf_dir: str, *samples: str, tables=("lineitem",)
     return made
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(F.col(f"`{c}`"), PLACES).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+def rounded(df: DataFrame, places: int = PLACES) -> DataFrame:
+    return df.select(*[F.round(F.col(f"`{c}`"), places).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-def shown(df: DataFrame, aliases: list[str]) -> DataFrame:
+def shown(df: DataFrame, aliases: list[str], places: int = PLACES) -> DataFrame:
     """Estimates and their errors, rounded."""
-    return rounded(df.withColumnsRenamed({errors.column(f, a): f"{a}_{f}" for a in aliases for f in errors.FUNCTIONS}))
+    return rounded(df.withColumnsRenamed({errors.column(f, a): f"{a}_{f}" for a in aliases for f in errors.FUNCTIONS}), places)
 
 
 def strata(sample: DataFrame, *by: str) -> DataFrame:
@@ -303,7 +303,7 @@ def _estimated(kind, how):
         aggs, by = [Agg(kind, "l_extendedprice", "v")], {"l_returnflag": F.col("l_returnflag")}
         rows = sample.filter("l_quantity > 10")
         made = estimators.closed_form(rows, by, aggs) if how == "closedform" else estimators.bootstrap(rows, by, aggs, F.col(ROW), 0.9, TRIALS)
-        return shown(made, ["v"])
+        return shown(made, ["v"], 3)  # sums of prices are large
 
     return run
 
