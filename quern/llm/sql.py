@@ -1,6 +1,6 @@
 """DuckDB SQL that gives the rows of those queries that SQL can express."""
 
-from . import secrets
+from . import quality_rules, secrets
 
 
 def _quoted(pattern: str) -> str:
@@ -69,3 +69,33 @@ SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind =
   count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
 FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id
 """
+
+
+def _holds(r: quality_rules.Rule) -> str:
+    most = f" AND {r.num} <= {r.high!r}::DOUBLE * greatest({r.den}, 1)" if r.high != float("inf") else ""
+    return f"({r.num} >= {float(r.low)!r}::DOUBLE * greatest({r.den}, 1){most})"
+
+
+ORACLES["op4_quality_rules"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS MATERIALIZED (
+  SELECT doc_id, text, regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g') AS plain,
+    list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM d),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM (
+  SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w))),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM g, range(3) t(j) WHERE k > 1 GROUP BY doc_id),
+s AS (
+  SELECT w.doc_id, len(words) AS n_words, length(plain) AS word_chars,
+    length(text) - length(translate(text, '{quality_rules.SYMBOLS}', '')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words, 1 AS one, len(lines) AS n_lines, length(text) - length(replace(text, '!', '')) AS n_bangs,
+    len(list_filter(words, lambda x: list_contains({quality_rules.STOP_WORDS!r}, lower(x)))) AS n_stop_words,
+    length(regexp_replace(plain, '\\P{{L}}+', '', 'g')) AS n_letters,
+    len(list_filter(lines, lambda x: regexp_matches(ltrim(x), '^[-*•]'))) AS n_bullet_lines,
+    len(list_filter(lines, lambda x: regexp_matches(rtrim(x), '([.][.][.]|…)$'))) AS n_ellipsis_lines
+  FROM w LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(map(_holds, quality_rules.RULES))} AS kept
+FROM b
+"""
