@@ -65,8 +65,8 @@ def pick(ctes: str, columns: str, tail: str = "") -> str:
     return f"WITH {ctes} SELECT {columns} FROM est {tail}"
 
 
-def shown(aliases: list[str], *by: str, places: int = 4) -> str:
-    return ", ".join([*by, *[f"round({c}, {places}) AS {c}" for a in aliases for c in (a, *[f"{a}_{f}" for f in FUNCTIONS])]])
+def shown(aliases: list[str], *by: str) -> str:
+    return ", ".join([*by, *[f"round({c}, 4) AS {c}" for a in aliases for c in (a, *[f"{a}_{f}" for f in FUNCTIONS])]])
 
 
 ORACLES["sample_reservoir"] = ORACLES["create_sample_table"] = ORACLES["create_using_column_sample"] = ORACLES["bypass_insert"] = strata(FLAG, "flag", "l_returnflag")
@@ -123,20 +123,20 @@ ORACLES["join_subqueries"] = f"WITH {FLAG} SELECT l_returnflag AS f, CAST(trunc(
 ORACLES["join_analysis_choice"] = """SELECT kind, joins, inner_only, other_distributed, CASE WHEN joins AND (NOT inner_only OR other_distributed OR kind <> 'sum') THEN 'bootstrap' ELSE 'closed_form' END AS analysis
 FROM (VALUES ('sum'), ('count'), ('avg')) k(kind), (VALUES (true), (false)) j(joins), (VALUES (true), (false)) i(inner_only), (VALUES (true), (false)) d(other_distributed)"""
 
-PRICE = "supp WHERE l_quantity > 10"
-ORACLES["agg_sum_weighted"] = f"WITH {SUPP} SELECT l_returnflag, round(sum(l_extendedprice * {W}), 4) AS v FROM {PRICE} GROUP BY 1"
-ORACLES["agg_count_weighted"] = f"WITH {SUPP} SELECT l_returnflag, CAST(trunc(round(sum({W}), 6)) AS BIGINT) AS v FROM {PRICE} GROUP BY 1"
-ORACLES["agg_avg_weighted"] = f"WITH {SUPP} SELECT l_returnflag, round(sum(l_extendedprice * {W}) / sum({W}), 4) AS v FROM {PRICE} GROUP BY 1"
+KEPT = "supp WHERE l_linenumber > 2"
+ORACLES["agg_sum_weighted"] = f"WITH {SUPP} SELECT l_returnflag, round(sum(l_quantity * {W}), 4) AS v FROM {KEPT} GROUP BY 1"
+ORACLES["agg_count_weighted"] = f"WITH {SUPP} SELECT l_returnflag, CAST(trunc(round(sum({W}), 6)) AS BIGINT) AS v FROM {KEPT} GROUP BY 1"
+ORACLES["agg_avg_weighted"] = f"WITH {SUPP} SELECT l_returnflag, round(sum(l_quantity * {W}) / sum({W}), 4) AS v FROM {KEPT} GROUP BY 1"
 LADDER = "CASE WHEN j = 0 THEN 1 " + " ".join(f"WHEN u < {p!r} THEN {k}" for k, p in enumerate(POISSON)) + f" ELSE {len(POISSON)} END"
 for kind in ("sum", "count", "avg"):
-    ORACLES[f"agg_{kind}_closedform"] = pick(closed(SUPP, PRICE, ["l_returnflag"], {"v": (kind, "l_extendedprice")}), shown(["v"], "l_returnflag", places=3))
-    e = {"sum": "sum(mult * w * l_extendedprice)", "count": "sum(mult * w)", "avg": "sum(mult * w * l_extendedprice) / nullif(sum(mult * w), 0)"}[kind]
+    ORACLES[f"agg_{kind}_closedform"] = pick(closed(SUPP, KEPT, ["l_returnflag"], {"v": (kind, "l_quantity")}), shown(["v"], "l_returnflag"))
+    e = {"sum": "sum(mult * w * l_quantity)", "count": "sum(mult * w)", "avg": "sum(mult * w * l_quantity) / nullif(sum(mult * w), 0)"}[kind]
     ORACLES[f"agg_{kind}_bootstrap"] = f"""WITH {SUPP},
-m AS (SELECT *, {W} AS w, {LADDER} AS mult FROM (SELECT *, CAST('0x' || substr(md5(h || '-' || rn || '|' || j), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM {PRICE.split(' WHERE ')[0]}, range({TRIALS}) t(j) WHERE l_quantity > 10)),
+m AS (SELECT *, {W} AS w, {LADDER} AS mult FROM (SELECT *, CAST('0x' || substr(md5(h || '-' || rn || '|' || j), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM {KEPT.split(' WHERE ')[0]}, range({TRIALS}) t(j) WHERE l_linenumber > 2)),
 e AS (SELECT l_returnflag, j, CASE WHEN sum(mult) > 0 THEN {e} END AS e FROM m GROUP BY 1, 2),
 a AS (SELECT l_returnflag, max(e) FILTER (j = 0) AS v, list_sort(list(e) FILTER (e IS NOT NULL)) AS x FROM e GROUP BY 1),
 b AS (SELECT *, x[CAST(floor(len(x) * {(1 - 0.9) / 2!r}::DOUBLE) AS BIGINT) + 1] AS lo, x[CAST(ceil(len(x) * {(1 + 0.9) / 2!r}::DOUBLE) AS BIGINT)] AS hi FROM a)
-SELECT l_returnflag, round(v, 3) AS v, round((hi - lo) / 2, 3) AS v_absolute_error, round(abs((hi - lo) / (2 * CASE WHEN abs(v) > 1 THEN v WHEN v >= 0 THEN v + 1 ELSE v - 1 END)), 3) AS v_relative_error, round(lo, 3) AS v_lower_bound, round(hi, 3) AS v_upper_bound FROM b"""
+SELECT l_returnflag, round(v, 4) AS v, round((hi - lo) / 2, 4) AS v_absolute_error, round(abs((hi - lo) / (2 * CASE WHEN abs(v) > 1 THEN v WHEN v >= 0 THEN v + 1 ELSE v - 1 END)), 4) AS v_relative_error, round(lo, 4) AS v_lower_bound, round(hi, 4) AS v_upper_bound FROM b"""
 ORACLES["agg_bootstrap_multiplicity"] = f"""WITH {FLAG}, m AS (SELECT l_linestatus, j, {LADDER} AS mult FROM (SELECT *, CAST('0x' || substr(md5(h || '-' || rn || '|' || j), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM flag, range({TRIALS}) t(j)))
 SELECT l_linestatus, CAST(j AS INTEGER) AS trial, CAST(sum(mult) AS BIGINT) AS rows, sum(mult) > 0 AS there FROM m GROUP BY 1, 2"""
 ORACLES["agg_min_max_qcs"] = f"WITH {SUPP} SELECT min(l_suppkey) AS a, max(l_suppkey) AS b, round(sum(l_quantity * {W}), 4) AS s FROM supp"
