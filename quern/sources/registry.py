@@ -31,12 +31,16 @@ class TopKTable:
     name: str
     base: str | None
     options: TopKOptions
-    path: str | None = None
+    paths: list[str] = field(default_factory=list)
     version: int = 0
     epoch_ms: int | None = None
     done: list[int] = field(default_factory=list)
 
 
+#: Appended parts of a top-K table before they are added up into one.
+PARTS = 50
+
+
 class Registry:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -147,19 +151,26 @@ class Registry:
                 return
             table.epoch_ms = first
         now = F.timestamp_millis(F.lit(table.epoch_ms)) if not o.time_column else None
-        fresh = topk.slots(rows, o, table.epoch_ms, now)
-        whole = topk.merged(self.spark.read.parquet(table.path), fresh) if table.path else fresh
-        path = f"{self.root}/{table.name.lower()}/version={table.version + 1}"
-        whole.write.mode("overwrite").parquet(path)
-        table.path, table.version = path, table.version + 1
+        self._append(table, topk.slots(rows, o, table.epoch_ms, now))
         if batch_id is not None:
             table.done.append(batch_id)
+        if len(table.paths) > PARTS:
+            whole = self.read_topk(name)
+            table.paths = []
+            self._append(table, whole)
+
+    def _append(self, table: TopKTable, counts: DataFrame) -> None:
+        """Counts only add up, so an insert writes its own and reads nothing."""
+        table.version += 1
+        path = f"{self.root}/{table.name.lower()}/part={table.version}"
+        counts.write.mode("overwrite").parquet(path)
+        table.paths.append(path)
 
     def read_topk(self, name: str) -> DataFrame:
         table = self.topk(name)
-        if table.path is None:
+        if not table.paths:
             return self.spark.createDataFrame([], "slot bigint, key string, n bigint")
-        return self.spark.read.parquet(table.path)
+        return topk.merged(self.spark.read.parquet(*table.paths))
 
     def query_topk(self, name: str, k: int | None = None, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
         """key, estimated_value and error_bounds of the k largest keys between two times."""
@@ -176,7 +187,7 @@ class Registry:
 
     def truncate_topk(self, name: str) -> None:
         table = self.topk(name)
-        table.path, table.done, table.epoch_ms = None, [], table.options.epoch_ms
+        table.paths, table.done, table.epoch_ms = [], [], table.options.epoch_ms
 
     def drop_topk(self, name: str, missing_ok: bool = False) -> None:
         if self.topks.pop(name.lower(), None) is None and not missing_ok:
