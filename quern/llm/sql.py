@@ -76,6 +76,18 @@ def _holds(r: quality_rules.Rule) -> str:
     return f"({r.num} >= {float(r.low)!r}::DOUBLE * greatest({r.den}, 1){most})"
 
 
+ORACLES["op1_substring_dedup"] = """
+WITH w AS MATERIALIZED (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT doc_id, i, sha256(array_to_string(words[i:i + 34], ' ')) AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS k FROM g) WHERE k > 1),
+c AS (SELECT DISTINCT doc_id, i + j AS i FROM r, range(35) t(j)),
+e AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM e ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
+
 ORACLES["op4_quality_rules"] = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS MATERIALIZED (
