@@ -29,37 +29,12 @@ from pyspark.sql import functions as F
 from ._shared import Scratch, documents, salted_join
 
 WINDOW = 35
-#: Distinct words a worker remembers before it starts afresh.
-WORDS = 400_000
 BASE = 0x9E3779B97F4A7C15  # odd, so that no word of a window loses weight
 
 
-class Lanes(dict):
-    """Two 64-bit hashes of each word, by the word's index here."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
-        self.lanes = np.zeros((2, 0), np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        i = self[word] = len(self)
-        self.new.append(word)
-        return i
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > WORDS:
-            self.clear()
-            self.lanes = self.lanes[:, :0]
-        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.new:
-            made = [[xxhash.xxh64_intdigest(w, seed) for w in self.new] for seed in (1, 2)]
-            self.lanes = np.concatenate([self.lanes, np.array(made, np.uint64)], axis=1)
-            self.new = []
-        return self.lanes[:, ids]
-
-
-_lanes = Lanes()
+def lanes_of(words: list[bytes]) -> np.ndarray:
+    """Two rows: the halves of each word's 128-bit hash."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2).T.copy()
 
 
 def window_hash(h: np.ndarray, n: int) -> np.ndarray:
@@ -129,7 +104,7 @@ def _level_one(window: int):
             if len(w) < window:
                 rows.append((0, 0, np.zeros(0, np.int64)))
                 continue
-            chosen, n = np.unique(samples(_lanes.of(w)[0], window)[0], return_counts=True)
+            chosen, n = np.unique(samples(lanes_of(w)[0], window)[0], return_counts=True)
             chosen = np.concatenate([chosen, chosen[n > 1]])  # twice in a document is repeated
             rows.append((*_sequence(w), chosen.view(np.int64)))
         ends = np.cumsum([0] + [len(r[2]) for r in rows])
@@ -174,7 +149,7 @@ def _level_two(window: int, digest: bool):
                 if first:
                     weight, starts = 2 * (doc.as_py() == first[0]), np.arange(len(w) - window + 1)
             if not len(starts) and len(w) >= window and half.is_valid and len(half):
-                if len(_candidates(_lanes.of(w), half.values.to_numpy(), window)):
+                if len(_candidates(lanes_of(w), half.values.to_numpy(), window)):
                     rows.append({"n_words": len(w), "n_removed": None, "kept": None, "weight": 1})
                     continue
             rows.append(_result(w, starts, window, digest) | {"weight": weight})
@@ -190,7 +165,7 @@ def _window_hashes(window: int):
     def run(texts: pa.Array, halves: pa.Array, weights: pa.Array) -> pa.Array:
         h, g, count, ends = [], [], [], [0]
         for text, half, weight in zip(texts, halves, weights):
-            lanes = _lanes.of(_split(text))
+            lanes = lanes_of(_split(text))
             at = _candidates(lanes, half.values.to_numpy(), window)
             a, i, n = np.unique(window_hash(lanes[0], window)[at], return_index=True, return_counts=True)
             h.append(a.view(np.int64))
@@ -211,7 +186,7 @@ def _removal(window: int, digest: bool):
             w, starts = _split(text), np.zeros(0, np.int64)
             if hashes.is_valid and len(hashes):
                 known = np.sort(hashes.values.to_numpy().view(np.uint64))
-                h = window_hash(_lanes.of(w)[0], window)
+                h = window_hash(lanes_of(w)[0], window)
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 starts = np.flatnonzero(known[at] == h)
             rows.append(_result(w, starts, window, digest))
