@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import errors
 from ..functions.quantiles import factor
@@ -81,6 +82,18 @@ def _own(a: Agg) -> list[Column]:
     return [{"count": F.count(v), "sum": F.sum(v), "avg": F.avg(v)}[a.kind].alias(a.alias)]
 
 
+def exact_type(kind: str, arg: T.DataType | None) -> T.DataType:
+    """The type that Spark gives the exact aggregate, which an estimate is cast back to."""
+    if kind == "count":
+        return T.LongType()
+    if kind in ("min", "max"):
+        return arg
+    if isinstance(arg, T.DecimalType):
+        more, scale = (4, 4) if kind == "avg" else (10, 0)
+        return T.DecimalType(min(arg.precision + more, 38), min(arg.scale + scale, 38))
+    return T.LongType() if kind == "sum" and isinstance(arg, T.IntegralType) else T.DoubleType()
+
+
 def weighted(df: DataFrame, by: dict[str, Column], aggs: list[Agg]) -> DataFrame:
     """Weighted estimates alone."""
     w, out = weight(), []

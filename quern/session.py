@@ -270,15 +270,17 @@ class AqpSession:
         if analysis == selection.EXACT:
             return self._plain(plan.block.sql(source=source.exact))
         by = {f"g{i}": F.col(f"g{i}") for i in range(len(plan.groups))}
-        exact_input = self.spark.sql(plan.input_sql(source.exact, False))
-        types = {f.name: f.dataType for f in estimators.exact(exact_input, by, plan.aggs).schema.fields}
-        groups = self._estimate(self.spark.sql(plan.input_sql(source.sql, True)), by, plan.aggs, analysis, s.confidence, trials)
+        rows = self.spark.sql(plan.input_sql(source.sql, True))
+        kinds = {f.name: f.dataType for f in rows.schema.fields}
+        types = {a.alias: estimators.exact_type(a.kind, kinds.get(a.arg)) for a in plan.aggs}
+        exact_rows = lambda: self.spark.sql(plan.input_sql(source.exact, False))
+        groups = self._estimate(rows, by, plan.aggs, analysis, s.confidence, trials)
 
         def typed(df: DataFrame) -> DataFrame:
             return df.withColumns({a.alias: F.round(F.col(a.alias), 6).cast(types[a.alias]) if "int" in types[a.alias].simpleString() else F.col(a.alias).cast(types[a.alias]) for a in plan.aggs})
 
         groups, routed = typed(groups), False
-        whole = lambda: typed(estimators.exact(exact_input, by, plan.aggs))
+        whole = lambda: typed(estimators.exact(exact_rows(), by, plan.aggs))
         if analysis == selection.BYPASS:
             pass
         elif behavior == "LOCAL_OMIT":
@@ -288,7 +290,7 @@ class AqpSession:
             routed = "__full" in groups.columns
             groups = groups.drop("__full")
         elif behavior == "PARTIAL_RUN_ON_BASE_TABLE":
-            some = lambda keys: typed(estimators.exact(contract.rows_of(exact_input, by, keys), by, plan.aggs))
+            some = lambda keys: typed(estimators.exact(contract.rows_of(exact_rows(), by, keys), by, plan.aggs))
             groups = contract.partial_run(groups, list(by), plan.aggs, limit, some, whole)
         self.last_plan_info = PlanInfo(s.error, s.confidence, behavior, analysis, trials, source.sample.name, routed)
         result = self._project(plan, groups, behavior == "STRICT" and analysis != selection.BYPASS)

@@ -99,3 +99,17 @@ def test_option_errors():
         with pytest.raises(ValueError):
             SampleOptions.parse(bad)
     assert SampleOptions.parse({"qcs": "a, round(tan(b), 2)", "buckets": "7"}).qcs == ("a", "round(tan(b), 2)")
+
+
+def test_types_are_those_of_exact_aggregates(spark):
+    df = spark.createDataFrame([], "i int, l long, d double, f float, c decimal(6,2), s string, t timestamp")
+    for column, kind in ((c, k) for c in "ildfc" for k in ("sum", "avg", "min", "max", "count")):
+        want = estimators.exact(df, {}, [Agg(kind, column, "x")]).schema["x"].dataType
+        assert estimators.exact_type(kind, df.schema[column].dataType) == want, (kind, column)
+    assert estimators.exact_type("max", df.schema["t"].dataType) == df.schema["t"].dataType
+
+
+def test_large_strata_are_filtered_before_the_shuffle(spark, sf_dir):
+    plan = stratified_sample(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), SampleOptions(("l_returnflag",), reservoir=5))._jdf.queryExecution().executedPlan().toString()
+    join, shuffle = plan.index("BroadcastHashJoin"), plan.index("Exchange hashpartitioning(quern_stratum")
+    assert shuffle < join and "WindowGroupLimit" not in plan[join:]
