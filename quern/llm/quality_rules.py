@@ -44,7 +44,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", low=2, high=14),
     Rule("symbols", "n_symbols", "n_words", high=0.25),
     Rule("bangs", "n_bangs", "n_words", high=0.25),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=0.3),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=0.5),
     Rule("repeated_words", "n_repeat_words", "n_words", high=0.5),
     Rule("stop_words", "n_stop_words", "n_words", low=0.03),
     Rule("letters", "n_letters", "word_chars", low=0.6),
