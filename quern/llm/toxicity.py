@@ -2,7 +2,7 @@
 
 One model of toxic and one of ordinary text. Word counts by class come from all labelled rows
 that may be learned from. A word keeps counts of its own in each class where its document
-frequencies, and then its contexts, differ between the classes beyond chance; failing that, the
+frequencies, and then its contexts, differ between the classes widely and beyond chance; failing that, the
 words of its longest such stem (first STEMS letters) do so together; any other word is a rare or
 common expression that both classes smooth through the same shared backoff, so it says nothing
 for either side. Over these units each class has interpolated Kneser-Ney estimates: discounted
@@ -43,8 +43,10 @@ UNITS = 20_000
 PAIRS = 20_000
 #: The classifier's bound: labelled rows the logistic function is fitted on.
 CALIBRATION = 6000
-#: Least evidence (G squared, one degree of freedom) for counts of a unit's own.
+#: Least evidence (G squared, one degree of freedom) for counts of a unit's own, and how many
+#: times as frequent it must be in one class as in the other.
 EVIDENCE = 12.0
+RATIO = 3.0
 DISCOUNT = 0.75
 THRESHOLD = 0.7
 WORD = re.compile(r"\w+")
@@ -105,7 +107,8 @@ def _pair_counts(units: frozenset[str]):
         def out():
             found = sorted(pairs[0].keys() | pairs[1].keys())
             columns = [pa.array([p[k] for p in found], pa.string()) for k in (0, 1)] + [pa.array([c[p] for p in found], pa.int64()) for c in pairs]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n0", "n1"])
+            flags = [pa.array([p[k] in units for p in found], pa.bool_()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, *flags], ["a", "b", "n0", "n1", "a_unit", "b_unit"])
             for c in pairs:
                 c.clear()
 
@@ -125,6 +128,21 @@ def _pair_counts(units: frozenset[str]):
     return run
 
 
+class _Index(dict):
+    """The number of a word's unit, from 1 on; 0 for words without one."""
+
+    def __init__(self, units):
+        super().__init__()
+        self.units = {u: i for i, u in enumerate(units, 1)}
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = self.units.get(unit_of(word, self.units), 0)
+        return found
+
+    def __reduce__(self):
+        return _Index, (list(self.units),)
+
+
 class ClassModels:
     """Log-likelihood ratios, toxic over ordinary, of words in context."""
 
@@ -151,27 +169,19 @@ class ClassModels:
                 back = min(max(DISCOUNT * followers[a][c] / k, 1e-3), 1) if k else 1.0
                 q.append((max(v[c] - DISCOUNT, 0) / k if k else 0) + back * self.p[c][b])
             self.pairs[a, b] = float(np.log(q[1] / q[0]))
-        self.known: dict[str, tuple[str, float]] = {}
+        self.known = _Index(units)
+        self.table = np.array([self.rest, *self.units.values()])
+        self.by_index = {(self.known.units[a], self.known.units[b]): r for (a, b), r in self.pairs.items()}
         self.weights, self.constant = np.zeros(3), None
 
-    def look_up(self, word: str) -> tuple[str, float]:
-        unit = unit_of(word, self.units)
-        return unit, self.units.get(unit, self.rest)
-
     def ratios(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > TOGETHER:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = self.look_up(w)
-        found = [known[w] for w in words]
-        out = np.array([f[1] for f in found])
-        if self.pairs:
-            at = [i for i, f in enumerate(found) if f[0]]
-            for i in at:
-                if i and found[i - 1][0]:
-                    out[i] = self.pairs.get((found[i - 1][0], found[i][0]), out[i])
+        if len(self.known) > TOGETHER:
+            self.known.clear()
+        ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        out = self.table[ids]
+        if self.by_index:
+            for i in np.flatnonzero((ids[1:] > 0) & (ids[:-1] > 0)) + 1:
+                out[i] = self.by_index.get((ids[i - 1], ids[i]), out[i])
         return out
 
     def features(self, text: str | None) -> tuple[float, float]:
@@ -218,26 +228,23 @@ def train(docs: DataFrame, marks: DataFrame, scratch: Scratch, doc_id: str = "do
         return F.when(k > 0, k * F.log(k * F.lit((a + b) / max(of, 1)) / (F.col("d0") + F.col("d1")))).otherwise(0.0)
 
     strength = 2 * (part(F.col("d0"), a, b) + part(F.col("d1"), b, a))
-    strong = counts.withColumn("g", strength).filter(F.col("g") >= EVIDENCE).orderBy(F.desc("g"), "unit").limit(UNITS)
+    ratio = (F.col("d1") + 0.5) / (b + 1) / ((F.col("d0") + 0.5) / (a + 1))
+    wide = (ratio >= RATIO) | (ratio <= 1 / RATIO)
+    strong = counts.withColumn("g", strength).filter((F.col("g") >= EVIDENCE) & wide).orderBy(F.desc("g"), "unit").limit(UNITS)
     units = frozenset(r.unit for r in strong.select("unit").collect())
-    pairs = rows.select("text", "y").mapInArrow(_pair_counts(units), "a string, b string, n0 long, n1 long")
-    pairs = scratch.write(pairs.groupBy("a", "b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-
-    def with_units(pairs: DataFrame, column: str, units) -> DataFrame:
-        known = docs.sparkSession.createDataFrame([(u,) for u in sorted(units)], "unit string")  # UNITS rows at most
-        return pairs.join(F.broadcast(known), F.col(column) == F.col("unit"), "left_semi")
-
+    pairs = rows.select("text", "y").mapInArrow(_pair_counts(units), "a string, b string, n0 long, n1 long, a_unit boolean, b_unit boolean")
+    pairs = scratch.write(pairs.groupBy("a", "b", "a_unit", "b_unit").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     some = lambda c: F.count(F.when(F.col(c) > 0, 1))
-    contexts = with_units(pairs, "b", units).groupBy("b").agg(some("n0").alias("x"), some("n1").alias("y"), F.count("*").alias("n")).collect()
+    # A row for each unit: UNITS rows at most.
+    contexts = pairs.filter("b_unit").groupBy("b").agg(some("n0").alias("x"), some("n1").alias("y"), F.count("*").alias("n")).collect()
+    after = pairs.filter("a_unit").groupBy("a").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), some("n0").alias("x"), some("n1").alias("y")).collect()
+    both = pairs.filter("a_unit AND b_unit AND n0 + n1 > 1").orderBy(F.desc(F.col("n0") + F.col("n1")), "a", "b").limit(PAIRS).collect()
     kept = {r.b: (r.x, r.y) for r in contexts if evidence((r.x, r.y), n) >= EVIDENCE}
-    left = with_units(pairs, "a", kept)
-    after = left.groupBy("a").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), some("n0").alias("x"), some("n1").alias("y")).collect()
-    both = with_units(left, "b", kept).filter("n0 + n1 > 1").orderBy(F.desc(F.col("n0") + F.col("n1")), "a", "b").limit(PAIRS).collect()
     model = ClassModels(
         n,
         kept,
         {r.b: r.n for r in contexts if r.b in kept},
-        {(r.a, r.b): (r.n0, r.n1) for r in both},
+        {(r.a, r.b): (r.n0, r.n1) for r in both if r.a in kept and r.b in kept},
         {r.a: (r.n0, r.n1) for r in after},
         {r.a: (r.x, r.y) for r in after},
     )
