@@ -1,7 +1,7 @@
 """PII surrogates, in column expressions alone.
 
-Detected entities (e-mail addresses, phone numbers, IPv4 addresses, payment cards, names after a
-title) are replaced by keyed surrogates of the same kind and shape: a digit becomes a digit and
+Detected entities (e-mail addresses, phone numbers, social security numbers, IPv4 addresses,
+payment cards, names after a title) are replaced by keyed surrogates of the same kind and shape: a digit becomes a digit and
 a letter a letter, separators and letter case stay, cards pass the Luhn check, octets are
 octets, and a name keeps its title, script and gender ending. E-mail addresses end in the
 reserved domain `example`.
@@ -31,6 +31,7 @@ KEY = "surrogates"
 TITLES = {
     "f": "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Госпожа|Κυρία".split("|"),
     "m": "Mr|Herr|Señor|Sr|Monsieur|Господин|Κύριος".split("|"),
+    "n": "Dr|Prof".split("|"),
 }
 #: Syllables and endings (feminine, masculine) by script.
 SCRIPTS = {
@@ -40,35 +41,51 @@ SCRIPTS = {
 }
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-NAME = r"(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? \p{Lu}\p{L}+"
-PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}"
+TITLE = r"(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? "
+NAME = TITLE + r"\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?"
+PHONE = "|".join(
+    (
+        r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}",
+        r"\+[0-9]{1,3}(?:[ .-]?[0-9]{1,4}){3,6}",
+        r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}",
+        r"[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
+    )
+)
+SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 DOTTED = r"[0-9]+(?:\.[0-9]+)+"
 CARD = r"[0-9](?:[ -]?[0-9]){12,}"
-ANY = f"{EMAIL}|{NAME}|{PHONE}|{DOTTED}|{CARD}"
+ANY = f"{EMAIL}|{NAME}|{PHONE}|{SSN}|{DOTTED}|{CARD}"
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
 def kind(mention: Column) -> Column:
-    """email, name, phone, ip or card; null for what only looks like one, which stays."""
+    """email, name, phone, ssn, ip or card; null for what only looks like one, which stays."""
     digits = F.length(F.regexp_replace(mention, "[^0-9]", ""))
     return (
         F.when(mention.contains("@"), "email")
         .when(mention.rlike(rf"^{NAME}$"), "name")
         .when(mention.rlike(rf"^(?:{PHONE})$"), "phone")
+        .when(mention.rlike(rf"^{SSN}$"), "ssn")
         .when(mention.rlike(rf"^{OCTET}(\.{OCTET}){{3}}$"), "ip")
         .when(mention.rlike(rf"^{CARD}$") & digits.between(13, 19), "card")
     )
 
 
-def _surname(mention: Column) -> Column:
-    return F.substring_index(mention, " ", -1)
+def _after_title(mention: Column) -> Column:
+    return F.regexp_replace(mention, f"^{TITLE}", "")
+
+
+def _gender(mention: Column) -> Column:
+    out = F.lit("n ")
+    for g in "fm":
+        out = F.when(mention.rlike("^(?:" + "|".join(TITLES[g]) + ")[. ]"), f"{g} ").otherwise(out)
+    return out
 
 
 def canonical(of: Column, mention: Column) -> Column:
-    female = mention.rlike("^(?:" + "|".join(TITLES["f"]) + r")[. ]")
     return (
         F.when(of == "email", F.lower(mention))
-        .when(of == "name", F.concat(F.when(female, "f ").otherwise("m "), F.lower(_surname(mention))))
+        .when(of == "name", F.concat(_gender(mention), F.lower(_after_title(mention))))
         .when(of == "ip", mention)
         .otherwise(F.regexp_replace(mention, "[^0-9]", ""))
     )
@@ -107,10 +124,13 @@ def _script(text: Column) -> Column:
 
 
 def _name(canon: Column, digest: Column) -> Column:
+    """One made name for each of the entity's; the last has the ending of the gender."""
     script, out = _script(F.substring(canon, 3, 1 << 30)), F.lit(None).cast("string")
     for s, (syllables, (f, m)) in SCRIPTS.items():
-        parts = [F.element_at(F.array(*map(F.lit, syllables)), F.pmod(_byte(digest, F.lit(i)), F.lit(len(syllables))) + 1) for i in range(4)]
-        out = F.when(script == s, F.concat(*parts, F.when(canon.startswith("f"), f).otherwise(m))).otherwise(out)
+        made = [F.element_at(F.array(*map(F.lit, syllables)), F.pmod(_byte(digest, F.lit(i)), F.lit(len(syllables))) + 1) for i in range(7)]
+        female = canon.startswith("f") | (canon.startswith("n") & (_byte(digest, F.lit(7)) % 2 == 0))
+        last = F.concat(*made[:4], F.when(female, f).otherwise(m))
+        out = F.when(script == s, F.when(F.substring(canon, 3, 1 << 30).contains(" "), F.concat(*made[4:], F.lit(" "), last)).otherwise(last)).otherwise(out)
     return F.concat(F.substring(canon, 1, 2), out)
 
 
@@ -145,10 +165,10 @@ def laid_out(of: Column, mention: Column, new: Column) -> Column:
     def cased(old: Column, fresh: Column) -> Column:
         return F.array_join(F.transform(fresh, lambda c, i: F.when(F.coalesce(F.get(old, i), F.lit("")).rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
 
-    surname = _surname(mention)
-    title = F.substring(mention, F.lit(1), F.length(mention) - F.length(surname))
+    names = _after_title(mention)
+    title = F.substring(mention, F.lit(1), F.length(mention) - F.length(names))
     fresh = F.substring(new, 3, 1 << 30)
-    whole = F.when(surname == F.upper(surname), F.upper(fresh)).otherwise(F.initcap(fresh))
+    whole = F.when(names == F.upper(names), F.upper(fresh)).otherwise(F.initcap(fresh))
     return (
         F.when(of == "email", let(_places(mention), lambda o: let(_places(new), lambda f: cased(o, f))))
         .when(of == "name", F.concat(title, whole))
@@ -202,4 +222,4 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
 def op10_pii(spark, sf_dir):
     of = lambda k: F.size(F.filter("kinds", lambda x: x == k)).cast("long").alias(f"n_{k}")
     found = replace(documents(spark, sf_dir))
-    return found.select("row.doc_id", F.size("kinds").cast("long").alias("n_entities"), *map(of, ("email", "name", "phone", "ip", "card")), "text")
+    return found.select("row.doc_id", F.size("kinds").cast("long").alias("n_entities"), *map(of, ("email", "name", "phone", "ssn", "ip", "card")), "text")

@@ -5,8 +5,9 @@ from quern.llm import pii
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 TITLE = "(?:" + "|".join(t for ts in pii.TITLES.values() for t in ts) + r")\.? "
-PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}"
-ANY = re.compile(rf"(?P<email>{EMAIL})|(?P<name>{TITLE}[A-ZÀ-ÞΑ-ΩА-Я][^\W\d_]+)|(?P<phone>{PHONE})|(?P<ip>[0-9]+(?:\.[0-9]+)+)|(?P<card>[0-9](?:[ -]?[0-9]){{12,}})")
+PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{1,4}){3,6}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
+LETTERS = r"[A-ZÀ-ÞΑ-ΩА-Я][^\W\d_]+"
+ANY = re.compile(rf"(?P<email>{EMAIL})|(?P<name>{TITLE}{LETTERS}(?: {LETTERS})?)|(?P<phone>{PHONE})|(?P<ssn>[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}})|(?P<ip>[0-9]+(?:\.[0-9]+)+)|(?P<card>[0-9](?:[ -]?[0-9]){{12,}})")
 
 
 def kind(m):
@@ -19,7 +20,8 @@ def kind(m):
 
 def canonical(k, m):
     if k == "name":
-        return ("f " if re.match("(?:" + "|".join(pii.TITLES["f"]) + ")[. ]", m) else "m ") + m.split(" ")[-1].lower()
+        g = next((g for g in "fm" if re.match("(?:" + "|".join(pii.TITLES[g]) + ")[. ]", m)), "n")
+        return f"{g} " + re.sub(f"^{TITLE}", "", m).lower()
     return m.lower() if k == "email" else m if k == "ip" else re.sub(r"\D", "", m)
 
 
@@ -32,10 +34,12 @@ def draw(k, canon, attempt, key=pii.KEY):
     if k == "name":
         s = "cyrillic" if re.search("[а-яё]", canon[2:]) else "greek" if re.search("[α-ωά-ώ]", canon[2:]) else "latin"
         syllables, ends = pii.SCRIPTS[s]
-        return canon[:2] + "".join(syllables[byte(i) % len(syllables)] for i in range(4)) + ends[canon[0] == "m"]
+        made = [syllables[byte(i) % len(syllables)] for i in range(7)]
+        female = canon[0] == "f" or canon[0] == "n" and byte(7) % 2 == 0
+        return canon[:2] + ("".join(made[4:]) + " " if " " in canon[2:] else "") + "".join(made[:4]) + ends[not female]
     if k == "ip":
         return ".".join(str((byte(2 * i) * 256 + byte(2 * i + 1)) % 254 + 1) for i in range(4))
-    if k == "phone":
+    if k in ("phone", "ssn"):
         return canon[0] + shape(canon)[1:]
     digits = canon[0] + shape(canon)[1:-1]
     total = sum(int(c) if i % 2 else 2 * int(c) - 9 * (int(c) > 4) for i, c in enumerate(reversed(digits)))
@@ -46,8 +50,8 @@ def lay(k, mention, new):
     if k == "email":
         return "".join(c.upper() if i < len(mention) and "A" <= mention[i] <= "Z" else c for i, c in enumerate(new))
     if k == "name":
-        head, _, last = mention.rpartition(" ")
-        return f"{head} " + (new[2:].upper() if last == last.upper() else new[2:].capitalize())
+        names = re.sub(f"^{TITLE}", "", mention)
+        return mention[: len(mention) - len(names)] + (new[2:].upper() if names == names.upper() else new[2:].title())
     digits = iter(new)
     return new if k == "ip" else "".join(next(digits) if c in "0123456789" else c for c in mention)
 
@@ -73,7 +77,7 @@ TEXTS = [
     None, "", "nothing here 12 3.4 1.2.3.4.5 999.1.1.1", "mail Anna.Q7@Mail3.Example.com and anna.q7@mail3.example.com",
     "+1 (679) 555-5221 or 1-679 or +16795555221", "10.0.0.1 10.0.0.2 4111 1111 1111 1111 4111111111111111 12345678901234567890123",
     "Mrs. Smith met Mr Smith, Frau Müller and MR X; Mrs SMITH", "Госпожа Иванова и Господин Иванов; Κύριος Παπάς", "(555) 010-9999\n+49 30 1234 5678é🏴 x@y.z",
-    "10.0.0.1 " * 4000,
+    "10.0.0.1 " * 4000, "Dr. Anna Smith and Prof Lee, Frau Anna Smith; ssn 123-45-6789 123456789", "+33 1 42 68 53 00, 555-123-4567 or 555.123.4567",
 ]
 
 
