@@ -16,6 +16,7 @@ are the only columns read; the vocabulary's path is a parameter.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -125,43 +126,44 @@ class TrieEncoder:
         path: list[str] = []
         last: list[int] = [-1]
         back: list[int] = [0]
-        number, stack = self.number, [(0, s, child) for s, child in trie.items()]
+        number, fits, backwards, found = self.number, self.fits, self.backwards, self.words
+        stack = [(0, s, child) for s, child in trie.items()]
         while stack:
             depth, s, child = stack.pop()
             if depth < len(path):
                 del path[depth:], last[depth + 1 :], back[depth + 1 :]
             path.append(s)
-            self.extend(path, last, back)
+            # The last token of path: t, over d symbols that are encoded.
+            below, d = backwards, depth
+            while True:
+                node = below.get(path[d])
+                if node is None:
+                    raise ValueError("the vocabulary lacks a byte's symbol")
+                t, below = node
+                if t is not None:
+                    if not d:
+                        break
+                    fit = fits.get(last[d] << 32 | t)
+                    if fit is None:
+                        fit = self.pair_fits(last[d], t)
+                    if fit:
+                        break
+                d -= 1
+                if d < 0:
+                    raise ValueError("no token ends this word")
+            last.append(t)
+            back.append(d)
             depth += 1
             if child.__class__ is str:
                 ids = []
                 while depth:
                     ids.append(number[last[depth]])
                     depth = back[depth]
-                self.words[child] = b" ".join(ids[::-1])
+                ids.reverse()
+                found[child] = b" ".join(ids)
             else:
-                stack += [(depth, t, c) for t, c in child.items()]
-
-    def extend(self, path: list[str], last: list[int], back: list[int]) -> None:
-        """The last token of path, whose shorter prefixes are done."""
-        below, fits = self.backwards, self.fits
-        for d in range(len(path) - 1, -1, -1):
-            node = below.get(path[d])
-            if node is None:
-                break
-            t, below = node
-            if t is None:
-                continue
-            if d:
-                fit = fits.get(last[d] << 32 | t)
-                if fit is None:
-                    fit = self.pair_fits(last[d], t)
-                if not fit:
-                    continue
-            last.append(t)
-            back.append(d)
-            return
-        raise ValueError("the vocabulary lacks a byte's symbol")
+                for t, c in child.items():
+                    stack.append((depth, t, c))
 
     def learn(self, pieces: set[bytes]) -> None:
         """Encode pieces of text that the cache lacks."""
@@ -188,7 +190,8 @@ class TrieEncoder:
     def cut_words(self, text: str) -> list[str]:
         """As the library's normaliser and pre-tokenizer do; composed Latin text is cut here."""
         if self.pattern and LATIN.fullmatch(text):
-            found = self.pattern.findall(text.lower())
+            low = text.lower()
+            found = [low] if low.isalpha() else self.pattern.findall(low)
             return found if text.isascii() else [w.encode().decode("latin-1").translate(self.symbols) for w in found]
         return [w for w, _ in self.pre_tokenize(self.normalize(text))]
 
@@ -203,7 +206,13 @@ class TrieEncoder:
         if len(known) > CACHE:  # not while pieces of these texts are looked up
             known.clear()
             self.words.clear()
-        self.learn({p for ps in cut for p in ps if p not in known})
+        collects = gc.isenabled()
+        gc.disable()  # tries are trees: the collector would walk millions of nodes and free none
+        try:
+            self.learn({p for ps in cut for p in ps if p not in known})
+        finally:
+            if collects:
+                gc.enable()
         get = known.__getitem__
         return [b" ".join(filter(None, map(get, ps))) for ps in cut]
 
