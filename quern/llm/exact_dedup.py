@@ -26,27 +26,29 @@ RUN_GROWTH = 16
 LONGEST_RUN = 1 << 22
 
 
-def radix_groups(docs: DataFrame, doc_id: str, text: str, carry: list[Column]) -> DataFrame:
-    """doc_id, row (struct of carry), keep_id, group_size and kept, one row per row of docs."""
+def radix_groups(docs: DataFrame, doc_id: str, text: str, carry: list[Column], carries_text: bool = False) -> DataFrame:
+    """doc_id, row (struct of carry), keep_id, group_size and kept, one row per row of docs.
+
+    carries_text: the struct has the text, under its name, so it need not travel twice.
+    """
     scratch = Scratch(docs.sparkSession, "radix")
-    bytes_ = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    live = docs.select(F.col(doc_id).alias("doc_id"), bytes_.alias("bytes"), F.struct(*carry).alias("row"), F.lit(0).cast("long").alias("gid"))
-    at, run, closed, last = 0, FIRST_RUN, [], None
+    body = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*carry).alias("row"), F.lit(0).cast("long").alias("gid"))
+    live = body.drop("text") if carries_text else body
+    whole = F.coalesce(F.col(f"row.`{text}`" if carries_text else "text"), F.lit("")).cast("binary")
+    at, run, closed = 0, FIRST_RUN, []
     while True:
-        keyed = live.withColumn("ended", F.octet_length("bytes") <= at + run).withColumn("run", F.substring("bytes", at + 1, run))
+        keyed = live.withColumn("ended", F.octet_length(whole) <= at + run).withColumn("run", F.substring(whole, at + 1, run))
         keys = ["gid", "run", "ended"]
         shared = scratch.write(keyed.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").withColumn("next", F.monotonically_increasing_id()))
         split = salted_join(keyed, shared, keys, "left")
         state = F.when(F.col("next").isNull(), "single").when(F.col("ended"), "equal").otherwise("open")
-        open_ = state == "open"
+        texts = [] if carries_text else [F.when(state == "open", F.col("text")).alias("text")]
         done = scratch.write(
-            split.select("doc_id", "row", F.when(open_, F.col("bytes")).alias("bytes"), F.col("next").alias("gid"), state.alias("state"), F.monotonically_increasing_id().alias("rid"))
+            split.select("doc_id", "row", *texts, F.col("next").alias("gid"), state.alias("state"), F.monotonically_increasing_id().alias("rid"))
         )
-        if last is not None:
-            scratch.drop(last)
         scratch.drop(shared)
         closed.append(done)
-        live = done.filter("state = 'open'").select("doc_id", "bytes", "row", "gid")
+        live = done.filter("state = 'open'").drop("state", "rid")
         if live.isEmpty():
             break
         at, run = at + run, min(run * RUN_GROWTH, LONGEST_RUN)
@@ -71,7 +73,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without copies: of equal texts the row with the largest id stays."""
-    return radix_groups(docs, doc_id, text, [F.col(c) for c in docs.columns]).filter("kept").select("row.*")
+    return radix_groups(docs, doc_id, text, [F.col(c) for c in docs.columns], carries_text=True).filter("kept").select("row.*")
 
 
 def op9_exact_dedup(spark, sf_dir):
