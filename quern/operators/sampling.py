@@ -1,11 +1,13 @@
 """Stratified samples that are the same on every run.
 
 Rows of a stratum are ordered by a keyed hash of all their columns, and the first k are taken: a
-simple random sample without replacement that any engine can repeat. Two passes find them. The
-first counts strata (partial aggregation). The second keeps the rows whose hash lies below the
+simple random sample without replacement that any engine can repeat. Three passes find them. The
+first counts strata (partial aggregation). The others keep the rows whose hash lies below the
 stratum's k-th expected value plus six standard deviations, so that only about as many rows as
-the sample has are shuffled and ranked, however large a stratum is. Should a stratum fall short,
-which happens to one in a billion, `quern_taken` says how many rows were taken.
+the sample has are shuffled and ranked, however large a stratum is. Equal rows share a hash, so a
+stratum of many copies may fall short. What passes is therefore counted, and a stratum with too
+few rows is ranked without the bound, which reads the table once more. Ranks are taken in
+SALTS parts first and then among what the parts keep, so that no task gets a whole large stratum.
 
 A sample table has the columns of its base and five more: `quern_stratum` (the stratum's key as
 text), `quern_taken` and `quern_total` (rows taken and rows there), `quern_row` (the row's hash
@@ -123,14 +125,33 @@ def stratum_key(qcs: tuple[str, ...], batch: int = 0) -> Column:
 FEW_STRATA = 100_000
 
 
+#: Parts of a stratum that are ranked apart first.
+SALTS = 16
+
+
+def _least(marked: DataFrame) -> DataFrame:
+    """The quern_k rows of least __h of each stratum, with their rank __r from 1 on."""
+    k = F.col("__r") <= F.col("quern_k")
+    salted = marked.withColumn("__salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+    part = salted.withColumn("__r", F.row_number().over(Window.partitionBy(STRATUM, "__salt").orderBy("__h"))).filter(k).drop("__salt")
+    return part.withColumn("__r", F.row_number().over(Window.partitionBy(STRATUM).orderBy("__h"))).filter(k)
+
+
 def _bottom(df: DataFrame, counts: DataFrame, seed: str) -> DataFrame:
     """Of each stratum of counts (quern_stratum, quern_total, quern_k) the quern_k rows of least hash."""
     few = counts.count() <= FEW_STRATA
     share = (F.col("quern_k") + 6 * F.sqrt("quern_k") + 30) / F.col(TOTAL)
     marked = df.withColumn("__h", row_hash(df.drop(STRATUM), seed)).join(F.broadcast(counts) if few else counts, STRATUM)
-    one = Window.partitionBy(STRATUM)
-    ranked = marked.filter(uniform(F.col("__h")) <= share).withColumn("__r", F.row_number().over(one.orderBy("__h"))).filter(F.col("__r") <= F.col("quern_k"))
-    ranked = ranked.withColumn(TAKEN, F.count("*").over(one)).withColumn(ROW, F.concat_ws("-", "__h", "__r"))
+    passed = marked.filter(uniform(F.col("__h")) <= share)
+    got = passed.groupBy(STRATUM).agg(F.count("*").alias("__n"))
+    lacking = F.coalesce("__n", F.lit(0)) < F.least("quern_k", TOTAL)
+    short = settle(counts.join(got, STRATUM, "left").filter(lacking).select(STRATUM))
+    n = short.count()
+    if n:
+        short = F.broadcast(short) if n <= FEW_STRATA else short
+        passed = passed.join(short, STRATUM, "left_anti").unionByName(marked.join(short, STRATUM, "left_semi"))
+    ranked = _least(passed)
+    ranked = ranked.withColumn(TAKEN, F.count("*").over(Window.partitionBy(STRATUM))).withColumn(ROW, F.concat_ws("-", "__h", "__r"))
     return ranked.drop("__h", "__r", "quern_k")
 
 

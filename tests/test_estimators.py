@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -113,3 +114,15 @@ def test_large_strata_are_filtered_before_the_shuffle(spark, sf_dir):
     plan = stratified_sample(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), SampleOptions(("l_returnflag",), reservoir=5))._jdf.queryExecution().executedPlan().toString()
     join, shuffle = plan.index("BroadcastHashJoin"), plan.index("Exchange hashpartitioning(quern_stratum")
     assert shuffle < join and "WindowGroupLimit" not in plan[join:]
+
+
+def test_strata_of_copies_are_filled(spark):
+    """Copies share a hash, which the bound on hashes must not take for many."""
+    rows = spark.range(10_000).selectExpr("cast(id % 3 as string) AS g", "if(id % 3 = 0, 7L, if(id % 3 = 1, id % 4, id)) AS v")
+    got = stratified_sample(rows, SampleOptions(("g",), reservoir=50)).collect()
+    for g, total in (("0", 3334), ("1", 3333), ("2", 3333)):
+        mine = [r for r in got if r.g == g]
+        assert len(mine) == 50 and {(r.quern_taken, r.quern_total) for r in mine} == {(50, total)}
+        every = sorted(hashlib.md5(f"quern|{g}|{r.v}".encode()).hexdigest() for r in rows.filter(F.col("g") == g).collect())
+        assert sorted(r.quern_row.split("-")[0] for r in mine) == every[:50]
+        assert len({r.quern_row for r in mine}) == 50
