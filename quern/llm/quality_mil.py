@@ -4,7 +4,8 @@ A document is a bag of passages. Each passage is encoded by counts of its charac
 repeats; gated attention weighs the encodings, and the weighted mean is scored. Weights come
 from document labels alone, by gradient descent on a bounded sample of labelled rows: SAMPLE rows
 of least hash among those that may be learned from. Every document is scored over its whole
-text; passages are PASSAGE words long, longer only where a text would have over BAG of them.
+text in passages of PASSAGE words, however long it is; the attention over more than BAG passages
+is computed in running blocks of BAG.
 
 Null, empty and blank texts are bags of one empty passage. Without a usable label every score is
 0.5; with labels of one value alone, their smoothed share. A document labelled twice counts with
@@ -45,14 +46,15 @@ STOPS = frozenset(w.encode() for w in STOP_WORDS)
 FEATURES = KINDS + 9
 
 
-def encode(text: str | None) -> np.ndarray:
-    """The passages of a text as rows of FEATURES numbers."""
+def encode(text: str | None, size: int = 0) -> np.ndarray:
+    """The passages of a text as rows of FEATURES numbers: passages of `size` words, or where it
+    is 0 of as many as give BAG rows at most."""
     raw = (text or "").encode()
     w = raw.split()
     n = len(w)
     if not n:
         return np.zeros((1, FEATURES), np.float32)
-    size = max(PASSAGE, -(-n // BAG))
+    size = size or max(PASSAGE, -(-n // BAG))
     of = np.arange(n) // size
     bag = int(of[-1]) + 1
     length = np.fromiter(map(len, w), np.int64, n)
@@ -86,12 +88,17 @@ class GatedAttention:
         self.p = {k: r.normal(0, 0.3, s) if len(s) > 1 or k in "vc" else np.zeros(s) for k, s in shape.items()}
         self.mean, self.scale, self.constant = np.zeros(FEATURES), np.ones(FEATURES), 0.5
 
-    def forward(self, x: np.ndarray, starts: np.ndarray):
-        """x: passages of all bags in a row; starts: each bag's first row."""
+    def attention(self, x: np.ndarray):
+        """The hidden values of passages, their two gates, and the attention before the softmax."""
         p = self.p
         h = np.tanh(x @ p["w"] + p["wb"])
         t, g = np.tanh(h @ p["t"] + p["tb"]), _sigmoid(h @ p["g"] + p["gb"])
-        s = (t * g) @ p["v"]
+        return h, t, g, (t * g) @ p["v"]
+
+    def forward(self, x: np.ndarray, starts: np.ndarray):
+        """x: passages of all bags in a row; starts: each bag's first row."""
+        p = self.p
+        h, t, g, s = self.attention(x)
         of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x))))
         a = np.exp(s - np.maximum.reduceat(s, starts)[of])
         a /= np.add.reduceat(a, starts)[of]
@@ -127,8 +134,23 @@ class GatedAttention:
     def score(self, bags: list[np.ndarray]) -> np.ndarray:
         if self.p is None:
             return np.full(len(bags), self.constant)
-        starts = np.cumsum([0] + [len(b) for b in bags[:-1]])
-        return self.forward((np.concatenate(bags) - self.mean) / self.scale, starts)[-1]
+        out, few = np.empty(len(bags)), [i for i, b in enumerate(bags) if len(b) <= BAG]
+        if few:
+            starts = np.cumsum([0] + [len(bags[i]) for i in few[:-1]])
+            out[few] = self.forward((np.concatenate([bags[i] for i in few]) - self.mean) / self.scale, starts)[-1]
+        for i in set(range(len(bags))).difference(few):
+            out[i] = self.running(bags[i])
+        return out
+
+    def running(self, bag: np.ndarray) -> float:
+        """The score of one bag from blocks of BAG passages; sums are kept relative to the largest s so far."""
+        p, top, mass, z = self.p, -np.inf, 0.0, np.zeros(HIDDEN)
+        for i in range(0, len(bag), BAG):
+            h, s = self.attention((bag[i : i + BAG] - self.mean) / self.scale)[::3]
+            now = max(top, float(s.max()))
+            a = np.exp(s - now)
+            mass, z, top = mass * np.exp(top - now) + a.sum(), z * np.exp(top - now) + a @ h, now
+        return float(_sigmoid(z / mass @ p["c"] + p["b"])[0])
 
 
 def encoded(text: Column) -> Column:
@@ -136,7 +158,7 @@ def encoded(text: Column) -> Column:
 
     @F.arrow_udf("binary")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([encode(t.as_py()).tobytes() for t in texts], pa.binary())
+        return pa.array([encode(t.as_py(), PASSAGE).tobytes() for t in texts], pa.binary())
 
     return run(text)
 
@@ -157,7 +179,7 @@ def score(text: Column, model: GatedAttention) -> Column:
 
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
-        out = [model.score([encode(t.as_py()) for t in texts.slice(i, 256)]) for i in range(0, len(texts), 256)]
+        out = [model.score([encode(t.as_py(), PASSAGE) for t in texts.slice(i, 256)]) for i in range(0, len(texts), 256)]
         return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return run(text)

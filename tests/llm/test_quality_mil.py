@@ -56,6 +56,22 @@ def test_long_texts_keep_bags_small_and_whole():
     assert x[-1][5] > 0 and not x[0][5]  # the last word counts
 
 
+def test_long_texts_have_passages_of_one_length(spark):
+    """A bad passage in a very long text is encoded as in a short one, and attention sees all at once."""
+    r = np.random.default_rng(2)
+    words = [f"w{i}" for i in r.integers(0, 5000, 64 * 1000)]
+    words[64 * 700 : 64 * 701] = ["!!!!"] * 64
+    text = " ".join(words)
+    bag = quality_mil.encode(text, quality_mil.PASSAGE)
+    assert len(bag) == 1000 and bag[700, 5] == 1 and not bag[:700, 5].any()
+    model = quality_mil.GatedAttention()
+    whole = model.forward((bag - model.mean) / model.scale, np.array([0]))[-1][0]
+    short = quality_mil.encode("a few words", quality_mil.PASSAGE)
+    assert np.allclose(model.score([short, bag, short])[1], whole, rtol=1e-9)
+    got = spark.createDataFrame([(text,)], "text string").select(quality_mil.score(F.col("text"), model)).first()[0]
+    assert np.isclose(got, whole, rtol=1e-9)
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 2), (2, "", 2), (None, "good text", 2), (3, "a b", 2), (3, "a b", 2)], "doc_id long, text string, y int")
     none = spark.createDataFrame([(None, 1), (1, None)], "doc_id long, label int")
