@@ -2,7 +2,7 @@
 
 One model of toxic and one of ordinary text. Word counts by class come from all labelled rows
 that may be learned from. A word keeps counts of its own in each class where its document
-frequencies, and then its contexts, differ between the classes widely and beyond chance; failing that, the
+frequencies, and then its contexts, differ between the classes beyond chance; failing that, the
 words of its longest such stem (first STEMS letters) do so together; any other word is a rare or
 common expression that both classes smooth through the same shared backoff, so it says nothing
 for either side. Over these units each class has interpolated Kneser-Ney estimates: discounted
@@ -14,8 +14,8 @@ The log-likelihoods of a text under both models are compared per word, over the
 in its passages of PASSAGE words; a logistic function of the two, fitted on a bounded sample of
 CALIBRATION labelled rows, turns them into a score.
 
-The model holds UNITS units and PAIRS bigrams at most, those of strongest evidence, which bounds
-what is broadcast; what is counted to choose them grows with the corpus.
+The model holds every unit with evidence and every bigram of two of them, however many there are
+and however rare, so what is broadcast grows with the words that tell the classes apart.
 
 Null, empty and blank texts score as a text of neutral words. Without labels of both values every score
 is the smoothed share of label 1, or 0.5. A document labelled twice counts with its larger label. A
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,14 +40,10 @@ from .quality_mil import fold
 
 STEMS = (6, 4)
 PASSAGE = 24
-UNITS = 20_000
-PAIRS = 20_000
 #: The classifier's bound: labelled rows the logistic function is fitted on.
 CALIBRATION = 6000
-#: Least evidence (G squared, one degree of freedom) for counts of a unit's own, and how many
-#: times as frequent it must be in one class as in the other.
+#: Least evidence (G squared, one degree of freedom) for counts of a unit's own.
 EVIDENCE = 12.0
-RATIO = 3.0
 DISCOUNT = 0.75
 THRESHOLD = 0.7
 WORD = re.compile(r"\w+")
@@ -148,7 +145,7 @@ class ClassModels:
 
     def __init__(self, n, units, shared, pairs, before, followers):
         """n: tokens of each class. units: in how many contexts of each class each unit occurs;
-        shared: of both classes together. pairs: numbers of bigrams of units in each class;
+        shared: of both classes together. pairs (a, b, n0, n1): bigrams in each class;
         before, followers: how often, and by how many words, each unit is followed in each class."""
         share = sum(sum(v) for v in units.values()) / max(sum(n), 1)
         mass = sum(shared.values()) + 0.5 * len(units)
@@ -161,27 +158,39 @@ class ClassModels:
             rest.append(max(1 - sum(self.p[c].values()), 1e-9))
         self.rest = float(np.log(rest[1] / rest[0]))
         self.units = {u: float(np.log(self.p[1][u] / self.p[0][u])) for u in units}
-        self.pairs = {}
-        for (a, b), v in pairs.items():
-            q = []
-            for c in (0, 1):
-                k = before.get(a, (0, 0))[c]
-                back = min(max(DISCOUNT * followers[a][c] / k, 1e-3), 1) if k else 1.0
-                q.append((max(v[c] - DISCOUNT, 0) / k if k else 0) + back * self.p[c][b])
-            self.pairs[a, b] = float(np.log(q[1] / q[0]))
         self.known = _Index(units)
         self.table = np.array([self.rest, *self.units.values()])
-        self.by_index = {(self.known.units[a], self.known.units[b]): r for (a, b), r in self.pairs.items()}
+        self.width = len(units) + 1
+        self.keys, self.pairs = self.bigrams(list(units), pairs, before, followers)
         self.weights, self.constant = np.zeros(3), None
 
+    def bigrams(self, units: list[str], pairs: pa.Table, before, followers) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys of the bigrams of two units, and their log ratios."""
+        names = pa.array(units, pa.string())
+        a, b = (pc.fill_null(pc.index_in(pairs[c], value_set=names), -1).to_numpy().astype(np.int64) for c in ("a", "b"))
+        kept = (a >= 0) & (b >= 0)
+        a, b = a[kept], b[kept]
+        q = []
+        for c in (0, 1):
+            k, f = (np.array([of.get(u, (0, 0))[c] for u in units], float)[a] for of in (before, followers))
+            back = np.where(k > 0, np.clip(DISCOUNT * f / np.maximum(k, 1), 1e-3, 1), 1)
+            seen = np.maximum(pairs[f"n{c}"].to_numpy()[kept] - DISCOUNT, 0) / np.maximum(k, 1)
+            q.append(np.where(k > 0, seen, 0) + back * np.array(list(self.p[c].values()))[b])
+        keys = (a + 1) * self.width + b + 1
+        order = np.argsort(keys)
+        return keys[order], np.log(q[1] / q[0])[order]
+
     def ratios(self, words: list[str]) -> np.ndarray:
         if len(self.known) > TOGETHER:
             self.known.clear()
         ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         out = self.table[ids]
-        if self.by_index:
-            for i in np.flatnonzero((ids[1:] > 0) & (ids[:-1] > 0)) + 1:
-                out[i] = self.by_index.get((ids[i - 1], ids[i]), out[i])
+        if len(self.keys):
+            at = np.flatnonzero((ids[1:] > 0) & (ids[:-1] > 0)) + 1
+            key = ids[at - 1] * self.width + ids[at]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = self.keys[place] == key
+            out[at[found]] = self.pairs[place[found]]
         return out
 
     def features(self, text: str | None) -> tuple[float, float]:
@@ -228,23 +237,20 @@ def train(docs: DataFrame, marks: DataFrame, scratch: Scratch, doc_id: str = "do
         return F.when(k > 0, k * F.log(k * F.lit((a + b) / max(of, 1)) / (F.col("d0") + F.col("d1")))).otherwise(0.0)
 
     strength = 2 * (part(F.col("d0"), a, b) + part(F.col("d1"), b, a))
-    ratio = (F.col("d1") + 0.5) / (b + 1) / ((F.col("d0") + 0.5) / (a + 1))
-    wide = (ratio >= RATIO) | (ratio <= 1 / RATIO)
-    strong = counts.withColumn("g", strength).filter((F.col("g") >= EVIDENCE) & wide).orderBy(F.desc("g"), "unit").limit(UNITS)
-    units = frozenset(r.unit for r in strong.select("unit").collect())
+    units = frozenset(r.unit for r in counts.filter(strength >= EVIDENCE).select("unit").collect())
     pairs = rows.select("text", "y").mapInArrow(_pair_counts(units), "a string, b string, n0 long, n1 long, a_unit boolean, b_unit boolean")
     pairs = scratch.write(pairs.groupBy("a", "b", "a_unit", "b_unit").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     some = lambda c: F.count(F.when(F.col(c) > 0, 1))
-    # A row for each unit: UNITS rows at most.
+    # A row for each unit.
     contexts = pairs.filter("b_unit").groupBy("b").agg(some("n0").alias("x"), some("n1").alias("y"), F.count("*").alias("n")).collect()
     after = pairs.filter("a_unit").groupBy("a").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), some("n0").alias("x"), some("n1").alias("y")).collect()
-    both = pairs.filter("a_unit AND b_unit AND n0 + n1 > 1").orderBy(F.desc(F.col("n0") + F.col("n1")), "a", "b").limit(PAIRS).collect()
+    both = pairs.filter("a_unit AND b_unit").select("a", "b", "n0", "n1").toArrow()
     kept = {r.b: (r.x, r.y) for r in contexts if evidence((r.x, r.y), n) >= EVIDENCE}
     model = ClassModels(
         n,
         kept,
         {r.b: r.n for r in contexts if r.b in kept},
-        {(r.a, r.b): (r.n0, r.n1) for r in both if r.a in kept and r.b in kept},
+        both,
         {r.a: (r.n0, r.n1) for r in after},
         {r.a: (r.x, r.y) for r in after},
     )

@@ -52,6 +52,18 @@ def test_units_have_evidence_in_contexts(spark):
     assert model.score(["such a vileness"])[0] > model.score(["such a kindness"])[0]  # by its stem
 
 
+def test_model_keeps_all_units_and_rare_bigrams(spark):
+    """More units than 20,000, and bigrams seen once, are kept."""
+    words = [f"q{i}z" for i in range(21_000)]
+    data = [(i, " ".join(words), 1) for i in range(4)] + [(4, " ".join(reversed(words)), 1)] + [(10 + i, "calm words here " * 10_000, 0) for i in range(40)]
+    data += [(5 + k, " ".join(w for i in range(k, 21_000, 3) for w in (words[i], f"x{i % 9}y")), 1) for k in range(3)]
+    docs = spark.createDataFrame([x[:2] for x in data], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([x[::2] for x in data], "doc_id long, label int"), Scratch(spark, "t"))
+    assert set(words[10:-10]) <= model.units.keys()
+    of = model.known.units
+    assert of["q77z"] * model.width + of["q76z"] in model.keys and len(model.pairs) > 40_000
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, " "), (None, "awful"), (4, "awful " * 30_000), (4, "calm")], "doc_id long, text string")
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, label int")
