@@ -10,6 +10,9 @@ bigram counts after units, then the class's discounted continuation counts (in h
 a unit occurs, so that a word of one much copied text counts little), then continuation counts
 shared by both classes.
 
+Bigrams are scored only where both words are units and the bigram was seen; any other word takes
+its unigram ratio, without the backoff weight of the word before it.
+
 The log-likelihoods of a text under both models are compared per word, over the whole text and
 in its passages of PASSAGE words; a logistic function of the two, fitted on a bounded sample of
 CALIBRATION labelled rows, turns them into a score.
