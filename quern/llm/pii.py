@@ -9,7 +9,8 @@ reserved domain `example`.
 Mentions of one entity share a canonical form (case and separators aside), and a surrogate is a
 function of key, kind and canonical form, so coreference holds across the corpus. Surrogates are
 checked against each other and against all real entities; what collides is drawn again with the
-next attempt number until nothing does, so distinct entities stay distinct. Only distinct
+next attempt number until nothing does, so distinct entities stay distinct; after TRIES attempts
+names and e-mail addresses grow, so that a shape of few values does not run out. Only distinct
 entities enter the check, pre-aggregated; surrogates go back to mentions over salted keys, as a
 hot entity may be in a third of all documents. Texts without entities are never shuffled.
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from ._shared import Scratch, documents, let, salted_join
 
 KEY = "surrogates"
+#: Attempts at the usual length; each one after adds a letter to an e-mail address, a syllable to a name.
+TRIES = 4
 
 #: Titles by gender.
 TITLES = {
@@ -123,13 +126,15 @@ def _script(text: Column) -> Column:
     return F.when(text.rlike(r"\p{IsCyrillic}"), "cyrillic").when(text.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _name(canon: Column, digest: Column) -> Column:
-    """One made name for each of the entity's; the last has the ending of the gender."""
+def _name(canon: Column, digest: Column, longer: Column) -> Column:
+    """One made name for each of the entity's; the last has the ending of the gender, and as many
+    syllables more as longer says."""
     script, out = _script(F.substring(canon, 3, 1 << 30)), F.lit(None).cast("string")
     for s, (syllables, (f, m)) in SCRIPTS.items():
         made = [F.element_at(F.array(*map(F.lit, syllables)), F.pmod(_byte(digest, F.lit(i)), F.lit(len(syllables))) + 1) for i in range(7)]
         female = canon.startswith("f") | (canon.startswith("n") & (_byte(digest, F.lit(7)) % 2 == 0))
-        last = F.concat(*made[:4], F.when(female, f).otherwise(m))
+        more = F.transform(F.array_repeat(F.lit(0), longer), lambda _, i: F.element_at(F.array(*map(F.lit, syllables)), F.pmod(_byte(F.reverse(digest), i), F.lit(len(syllables))) + 1))
+        last = F.concat(*made[:4], F.array_join(more, ""), F.when(female, f).otherwise(m))
         out = F.when(script == s, F.when(F.substring(canon, 3, 1 << 30).contains(" "), F.concat(*made[4:], F.lit(" "), last)).otherwise(last)).otherwise(out)
     return F.concat(F.substring(canon, 1, 2), out)
 
@@ -137,6 +142,8 @@ def _name(canon: Column, digest: Column) -> Column:
 def surrogate(of: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
     """The canonical form of the replacement of a canonical form."""
 
+    longer = F.greatest(attempt - (TRIES - 1), F.lit(0))
+
     def made(d: Column) -> Column:
         stem = F.regexp_replace(canon, r"\.[^.]*$", "")
         octets = F.array_join(F.array(*[(F.pmod(_byte(d, F.lit(2 * i)) * 256 + _byte(d, F.lit(2 * i + 1)), F.lit(254)) + 1).cast("string") for i in range(4)]), ".")
@@ -145,8 +152,8 @@ def surrogate(of: Column, canon: Column, attempt: Column, key: str = KEY) -> Col
         card = _luhn(F.concat(first, F.substring(_shape(canon, d), F.lit(2), rest - 2)))
         phone = F.concat(first, F.substring(_shape(canon, d), F.lit(2), rest))
         return (
-            F.when(of == "email", F.concat(_shape(stem, d), F.lit(".example")))
-            .when(of == "name", _name(canon, d))
+            F.when(of == "email", F.concat(_shape(F.repeat(F.lit("a"), longer), F.reverse(d)), _shape(stem, d), F.lit(".example")))
+            .when(of == "name", _name(canon, d, longer))
             .when(of == "ip", octets)
             .when(of == "card", card)
             .otherwise(phone)

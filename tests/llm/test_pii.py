@@ -1,7 +1,10 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from quern.llm import pii
+from quern.llm._shared import Scratch
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 TITLE = "(?:" + "|".join(t for ts in pii.TITLES.values() for t in ts) + r")\.? "
@@ -109,3 +112,13 @@ def test_query_matches_brute_force(spark):
     for x, t in zip(docs, want):
         kinds = [kind(m) for m in ANY.finditer(x.text or "") if kind(m)]
         assert (got[x.doc_id].text, got[x.doc_id].n_entities, got[x.doc_id].n_email) == (t, len(kinds), kinds.count("email"))
+
+
+def test_shapes_of_few_values_do_not_run_out(spark):
+    """800 addresses of the shape l@l, which has 676 values."""
+    rows = [("email", f"a@b.{x}{y}") for x in "abcdefghij" for y in (f"q{i}" for i in range(80))]
+    got = pii.surrogates(spark.createDataFrame(rows, "of string, canon string"), Scratch(spark, "pii")).collect()
+    assert {(r.of, r.canon) for r in got} == set(rows) and len({r.new for r in got}) == len(rows)
+    name = pii.surrogate(F.lit("name"), F.lit("f smith"), F.col("n"))
+    made = [r[0] for r in spark.range(8).select(F.col("id").cast("int").alias("n")).select(name).collect()]
+    assert [len(x) for x in made] == [12] * 4 + [14, 16, 18, 20] and all(x.startswith("f ") for x in made)
