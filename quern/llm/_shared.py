@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Removes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Copies of the small side of a salted join; a key's rows spread over so many tasks.
 SALTS = 16
 
@@ -39,9 +42,15 @@ class Scratch:
         self.spark, self.path, self.n = spark, f"{root.rstrip('/')}/quern-{name}-{uuid.uuid4().hex}", 0
 
     def write(self, df: DataFrame) -> DataFrame:
+        """df written and read from there. The shuffle files of the write go when it ends, where
+        Spark would keep them until the driver collects garbage."""
         self.n += 1
-        path = f"{self.path}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        path, before = f"{self.path}/{self.n}", self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before) if before else self.spark.conf.unset(CLEANUP)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:

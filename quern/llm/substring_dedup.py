@@ -1,35 +1,54 @@
 """Substring dedup by level-wise doubling.
 
-Windows of half the target length come first (18 words for 35). Only what is repeated at one
-length is extended to twice that length, and a level without survivors ends the ladder; the
-target caps the last doubling (two 18-word windows that overlap by one word make 35).
+The ladder's lengths double up to the window: 9, 18 and 35 words for windows of 35 (the last
+doubling is capped, as longer repeats remove no more words). Windows that are repeated at one
+length alone are extended to the next; a length without survivors ends the ladder.
 
-Level 1 counts a sample of the half windows that is chosen by content: in every target window,
-those of least hash. Equal windows choose equal samples, so a target window whose sample is
-unique cannot be repeated, and a tenth of all positions is counted. Level 2 counts the target
-windows that survive, by 96-bit hashes. A repeated word sequence of a whole document is counted
-once, with weight two. Both counts are pre-aggregated before the shuffle; verdicts go back to
-documents over joins whose long side is split where a key is hot.
+Below the last length a sample of windows stands for all. It is chosen by content: each target
+window chooses its 18 words of least hash, and these their 9 words of least hash. Equal windows
+choose alike, so a target window whose choice is unique cannot be repeated, and a tenth of all
+positions is counted. The last length counts every surviving window by 96-bit hashes. A word
+sequence that whole documents share is counted once, with weight two.
+
+One pass over the texts writes the samples of all lengths, so that the lower lengths are joins of
+small rows. Texts and what survives then meet sorted by document, and are read as streams: a
+task holds one batch and one document's windows, never a group. Counts are pre-aggregated before
+the shuffle; survivors go back over joins whose long side is split where a key is hot.
 
 Null, empty and blank texts have no words. Rows with one id are separate documents; identical
-rows repeat each other. An empty table gives an empty result. Texts of any length are read whole.
-Only the id and text columns are read, so other columns cannot clash.
+rows repeat each other. Ids may be of any type, and null. An empty table gives an empty result.
+Texts of any length are read whole. Only the id and text columns are read, so other columns
+cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Scratch, documents, salted_join
 
 WINDOW = 35
+#: No length below it is halved.
+SHORTEST = 16
 BASE = 0x9E3779B97F4A7C15  # odd, so that no word of a window loses weight
+#: Words that are hashed together, and rows that are passed on together.
+TOGETHER, ROWS = 1 << 16, 1 << 16
+
+
+def ladder(window: int) -> list[int]:
+    """Lengths that double up to window; two at least."""
+    rungs = [(window + 1) // 2, window]
+    while rungs[0] >= SHORTEST:
+        rungs.insert(0, (rungs[0] + 1) // 2)
+    return rungs
 
 
 def lanes_of(words: list[bytes]) -> np.ndarray:
@@ -74,15 +93,55 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(27))
 
 
-def samples(lane: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of a document of `window` words or more: the half windows chosen, and for each target
-    window the hash of its choice."""
-    half = (window + 1) // 2
-    span = window - half + 1
-    k = _mixed(window_hash(lane, half))
-    least = _sliding(k, span, np.minimum)
-    edge = np.zeros(span - 1, np.uint64)
-    return k[_sliding(np.concatenate([edge, least, edge]), span, np.maximum) == k], least
+def choices(lane: np.ndarray, of: np.ndarray, rungs: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For every target window the hash of its choice, and whether it lies within one document.
+
+    lane: words of documents one after another; of: each word's document.
+    """
+    k = _mixed(window_hash(lane, rungs[-2]))
+    least = _sliding(k, rungs[-1] - rungs[-2] + 1, np.minimum)
+    return least, of[rungs[-1] - 1 :] == of[: len(least)]
+
+
+def samples(lane: np.ndarray, of: np.ndarray, rungs: list[int]) -> list[np.ndarray]:
+    """document, then hash and weight for each length but the last, of the windows chosen.
+
+    A row for each distinct chosen window of the longest of these lengths. The weight is the
+    number of places in the document, 2 at most, and stands on one row of each hash.
+    """
+    least, whole = choices(lane, of, rungs)
+    k, edge = _mixed(window_hash(lane, rungs[-2])), np.zeros(rungs[-1] - rungs[-2], np.uint64)
+    at = np.flatnonzero(_sliding(np.concatenate([edge, np.where(whole, least, 0).astype(np.uint64), edge]), len(edge) + 1, np.maximum) == k)
+    places, values = [at], [k[at]]
+    for long, short in zip(rungs[-2:0:-1], rungs[-3::-1]):
+        k = _mixed(window_hash(lane, short))
+        at = at + k[at[:, None] + np.arange(long - short + 1)].argmin(axis=1)
+        places.insert(0, at)
+        values.insert(0, k[at])
+    doc = of[places[-1]]
+    order = np.lexsort((values[-1], doc))
+    kept = np.zeros(len(doc), bool)
+    kept[order[_starts(doc[order], values[-1][order])]] = True
+    out = [doc[kept]]
+    for place, value in zip(places, values):
+        order = np.lexsort((place, value, doc))
+        starts = _starts(doc[order], value[order])
+        n = np.add.reduceat(_starts(doc[order], place[order], flags=True).astype(np.int32), starts) if len(starts) else starts
+        first = np.minimum.reduceat(np.where(kept[order], np.arange(len(order)), len(order) - 1), starts) if len(starts) else starts
+        weight = np.zeros(len(doc), np.int32)
+        weight[order[first]] = np.minimum(n, 2)
+        out += [value[kept], weight[kept]]
+    return out
+
+
+def _starts(*columns: np.ndarray, flags: bool = False) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return new if flags else np.flatnonzero(new)
 
 
 def _sequence(words: list[bytes]) -> tuple[int, int]:
@@ -91,106 +150,165 @@ def _sequence(words: list[bytes]) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
-def _split(text) -> list[bytes]:
-    return (text.as_py() or "").encode().split()
+def _split(text: str | None) -> list[bytes]:
+    return (text or "").encode().split()
 
 
-def _level_one(window: int):
-    @F.arrow_udf("struct<hi:bigint, lo:bigint, half:array<bigint>>")
-    def run(texts: pa.Array) -> pa.Array:
-        rows = []
-        for text in texts:
-            w = _split(text)
-            if len(w) < window:
-                rows.append((0, 0, np.zeros(0, np.int64)))
-                continue
-            chosen, n = np.unique(samples(lanes_of(w)[0], window)[0], return_counts=True)
-            chosen = np.concatenate([chosen, chosen[n > 1]])  # twice in a document is repeated
-            rows.append((*_sequence(w), chosen.view(np.int64)))
-        ends = np.cumsum([0] + [len(r[2]) for r in rows])
-        half = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *[r[2] for r in rows]])))
-        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), half], ["hi", "lo", "half"])
+def _texts(column: pa.Array, at: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+    """(place in column, words) of the texts at `at`."""
+    for i in range(0, len(at), 64):
+        for place, text in zip(at[i : i + 64].tolist(), column.take(pa.array(at[i : i + 64])).to_pylist()):
+            yield place, _split(text)
 
-    return run
 
+def _together(docs: Iterator[tuple[int, list[bytes]]]) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """Documents in lists of about TOGETHER words; a longer one is alone."""
+    held, n = [], 0
+    for doc in docs:
+        if held and n + len(doc[1]) > TOGETHER:
+            yield held
+            held, n = [], 0
+        held.append(doc)
+        n += len(doc[1])
+    if held:
+        yield held
+
+
+def _joined(docs: list[tuple[int, list[bytes]]]) -> tuple[np.ndarray, np.ndarray]:
+    """The lanes of the words of all docs, and each word's place in docs."""
+    return lanes_of([w for _, words in docs for w in words]), np.repeat(np.arange(len(docs)), [len(words) for _, words in docs])
+
+
+def _marks(rungs: list[int]):
+    """k, and of each document of `window` words or more its sequence (hi, lo) and its samples."""
+    names = ["k", "hi", "lo", *[f"{x}{j}" for j in range(len(rungs) - 1) for x in "hn"]]
+
+    def batch(k: np.ndarray, sequence: list[tuple[int, int]] | None, rest: list[np.ndarray] | None) -> pa.RecordBatch:
+        two = [pa.array([s[i] for s in sequence], pa.int64()) for i in (0, 1)] if sequence else [pa.nulls(len(k), pa.int64())] * 2
+        more = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in rest] if rest else [pa.nulls(len(k), pa.int64() if n[0] == "h" else pa.int32()) for n in names[3:]]
+        return pa.RecordBatch.from_arrays([pa.array(k), *two, *more], names)
 
-def _candidates(lanes: np.ndarray, half, window: int) -> np.ndarray:
-    """Starts of the target windows whose sample is in half."""
-    known = np.sort(np.array(half, np.int64).view(np.uint64))
-    least = samples(lanes[0], window)[1]
-    at = np.minimum(np.searchsorted(known, least), len(known) - 1)
-    return np.flatnonzero(known[at] == least)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            keys = rows.column(0).to_numpy()
+            long = (d for d in _texts(rows.column(1), np.arange(rows.num_rows)) if len(d[1]) >= rungs[-1])
+            for docs in _together(long):
+                k = keys[[i for i, _ in docs]]
+                yield batch(k, [_sequence(words) for _, words in docs], None)
+                lanes, of = _joined(docs)
+                doc, *rest = samples(lanes[0], of, rungs)
+                for i in range(0, len(doc), ROWS):
+                    yield batch(k[doc[i : i + ROWS]], None, [x[i : i + ROWS] for x in rest])
 
+    return run, "k long, hi long, lo long" + "".join(f", h{j} long, n{j} int" for j in range(len(rungs) - 1))
 
-def _result(w: list[bytes], starts: np.ndarray, window: int, digest: bool) -> dict:
-    """What remains of w when the windows at starts are removed."""
+
+def _result(w: list[bytes], starts: np.ndarray, window: int, digest: bool) -> tuple[int, int, str]:
+    """n_words, n_removed and what remains of w when the windows at starts are removed."""
     edge = np.zeros(len(w) + 1, np.int64)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + window, -1)
     gone = np.cumsum(edge[:-1]) > 0
     kept = b" ".join([x for x, g in zip(w, gone.tolist()) if not g] if len(starts) else w)
-    return {"n_words": len(w), "n_removed": int(gone.sum()), "kept": hashlib.sha256(kept).hexdigest() if digest else kept.decode()}
+    return len(w), int(gone.sum()), hashlib.sha256(kept).hexdigest() if digest else kept.decode()
 
 
+FIRST, COPY, CHOSEN, TEXT = range(4)
 RESULT = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]
+COUNTED = [("rid", pa.int64()), ("p", pa.int32()), ("h", pa.int64()), ("g", pa.int32()), ("n", pa.int32())]
 
 
-def _level_two(window: int, digest: bool):
-    """The result where level 1 decides it; else open. weight: of the windows to count, 0 for none."""
-
-    @F.arrow_udf("struct<n_words:bigint, n_removed:bigint, kept:string, weight:int>")
-    def run(ids: pa.Array, texts: pa.Array, halves: pa.Array, copies: pa.Array) -> pa.Array:
-        rows = []
-        for doc, text, half, same in zip(ids, texts, halves, copies):
-            w, weight, starts = _split(text), 0, np.zeros(0, np.int64)
-            if len(w) >= window and same.is_valid and len(same):
-                key = _sequence(w)
-                first = [c["first"] for c in same.as_py() if (c["hi"], c["lo"]) == key]
-                if first:
-                    weight, starts = 2 * (doc.as_py() == first[0]), np.arange(len(w) - window + 1)
-            if not len(starts) and len(w) >= window and half.is_valid and len(half):
-                if len(_candidates(lanes_of(w), half.values.to_numpy(), window)):
-                    rows.append({"n_words": len(w), "n_removed": None, "kept": None, "weight": 1})
-                    continue
-            rows.append(_result(w, starts, window, digest) | {"weight": weight})
-        return pa.array(rows, pa.struct([*RESULT, ("weight", pa.int32())]))
+def _record(n: int, fields: list, given: dict) -> pa.RecordBatch:
+    """n rows of fields; null where nothing is given."""
+    arrays = [given[name] if name in given else pa.nulls(n, kind) for name, kind in fields]
+    return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
 
-    return run
+
+def _decided(ids: pa.Array, found: list[tuple[int, tuple[int, int, str]]], fields: list) -> pa.RecordBatch:
+    columns = {name: pa.array([r[j] for _, r in found], kind) for j, (name, kind) in enumerate(RESULT)}
+    return _record(len(found), fields, columns | {"doc_id": ids.take(pa.array([i for i, _ in found], pa.int64()))})
 
 
-def _window_hashes(window: int):
-    """Distinct surviving windows of each document, with their number or the weight if larger."""
+def _windows(rungs: list[int], digest: bool):
+    """Over rows (k, kind, a, b, doc_id, text) sorted by k, then kind: what reached a document
+    before its text. Results where the lower lengths decide; else the text under a number rid, and
+    of each surviving window rid, place, hash and weight."""
+    window = rungs[-1]
 
-    @F.arrow_udf("array<struct<h:bigint, g:int, n:int>>")
-    def run(texts: pa.Array, halves: pa.Array, weights: pa.Array) -> pa.Array:
-        h, g, count, ends = [], [], [], [0]
-        for text, half, weight in zip(texts, halves, weights):
-            lanes = lanes_of(_split(text))
-            at = _candidates(lanes, half.values.to_numpy(), window)
-            a, i, n = np.unique(window_hash(lanes[0], window)[at], return_index=True, return_counts=True)
-            h.append(a.view(np.int64))
-            g.append((window_hash(lanes[1], window)[at][i] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            count.append(np.maximum(np.minimum(n, 2), weight.as_py()).astype(np.int32))
-            ends.append(ends[-1] + len(a))
-        flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((h, np.int64), (g, np.int32), (count, np.int32))]
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in flat], ["h", "g", "n"]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        keys, known = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        copies: dict[int, list[tuple[int, int, int]]] = {}
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            k, kind, a, b = (rows.column(i).to_numpy() for i in range(4))
+            ids, texts = rows.column(4), rows.column(5)
+            fields = [("doc_id", ids.type), *COUNTED, ("text", pa.string()), *RESULT]
+            before, chosen = keys == k[0], kind == CHOSEN
+            keys, known = np.concatenate([keys[before], k[chosen]]), np.concatenate([known[before], a[chosen].view(np.uint64)])
+            copies = {x: y for x, y in copies.items() if x == k[0]}
+            for i in np.flatnonzero(kind <= COPY).tolist():
+                copies.setdefault(int(k[i]), []).append((int(a[i]), int(b[i]), int(kind[i])))
+            repeated = np.unique(known)
+            here = np.flatnonzero(kind == TEXT)
+            met = set(here[np.isin(k[here], keys)].tolist())
+            for docs in _together(_texts(texts, here)):
+                found, counted, first = [], [], set()
+                for i, w in docs:
+                    same = copies.get(int(k[i])) if len(w) >= window else None
+                    role = next((c[2] for c in same if c[:2] == _sequence(w)), None) if same else None
+                    if role is not None:
+                        found.append((i, _result(w, np.arange(len(w) - window + 1), window, digest)))
+                    if role == FIRST:
+                        first.add(len(counted))
+                    if role == FIRST or role is None and len(w) >= window and i in met:
+                        counted.append((i, w))
+                    elif role is None:
+                        found.append((i, _result(w, np.zeros(0, np.int64), window, digest)))
+                if counted:
+                    lanes, of = _joined(counted)
+                    least, whole = choices(lanes[0], of, rungs)
+                    where = np.minimum(np.searchsorted(repeated, least), max(len(repeated) - 1, 0))
+                    at = np.flatnonzero(whole & (repeated[where] == least)) if len(repeated) else np.zeros(0, np.int64)
+                    doc = of[at]
+                    open_ = sorted(set(doc.tolist()) - first)
+                    rids = np.full(len(counted), -1, np.int64)
+                    rids[open_] = number + np.arange(len(open_))
+                    number += len(open_)
+                    found += [(i, _result(w, np.zeros(0, np.int64), window, digest)) for j, (i, w) in enumerate(counted) if rids[j] < 0 and j not in first]
+                    begins = np.concatenate([[0], np.cumsum([len(w) for _, w in counted])])
+                    weight = np.ones(len(counted), np.int32)
+                    weight[sorted(first)] = 2
+                    h, g = window_hash(lanes[0], window)[at].view(np.int64), (window_hash(lanes[1], window)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    columns = {"rid": rids[doc], "p": (at - begins[doc]).astype(np.int32), "h": h, "g": g, "n": weight[doc]}
+                    for i in range(0, len(at), ROWS):
+                        part = {name: pa.array(x[i : i + ROWS]) for name, x in columns.items()}
+                        yield _record(len(part["rid"]), fields, part)
+                    if open_:
+                        where = pa.array([counted[j][0] for j in open_], pa.int64())
+                        yield _record(len(open_), fields, {"doc_id": ids.take(where), "rid": pa.array(rids[open_]), "text": texts.take(where)})
+                if found:
+                    yield _decided(ids, found, fields)
 
     return run
 
 
 def _removal(window: int, digest: bool):
-    @F.arrow_udf("struct<n_words:bigint, n_removed:bigint, kept:string>")
-    def run(texts: pa.Array, repeated: pa.Array) -> pa.Array:
-        rows = []
-        for text, hashes in zip(texts, repeated):
-            w, starts = _split(text), np.zeros(0, np.int64)
-            if hashes.is_valid and len(hashes):
-                known = np.sort(hashes.values.to_numpy().view(np.uint64))
-                h = window_hash(lanes_of(w)[0], window)
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                starts = np.flatnonzero(known[at] == h)
-            rows.append(_result(w, starts, window, digest))
-        return pa.array(rows, pa.struct(RESULT))
+    """Over rows (rid, p, doc_id, text) sorted by rid, each text after its places p: results."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, places = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            rid, p, ids = rows.column(0).to_numpy(), rows.column(1).to_numpy().astype(np.int64), rows.column(2)
+            fields = [("doc_id", ids.type), *RESULT]
+            before, now = held == rid[0], p >= 0
+            held, places = np.concatenate([held[before], rid[now]]), np.concatenate([places[before], p[now]])
+            for docs in _together(_texts(rows.column(3), np.flatnonzero(~now))):
+                span = [np.searchsorted(held, rid[[i for i, _ in docs]], side) for side in ("left", "right")]
+                yield _decided(ids, [(i, _result(w, places[a:b], window, digest)) for (i, w), a, b in zip(docs, *span)], fields)
 
     return run
 
@@ -201,38 +319,42 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kept is the text of the words that no repeated window covers, joined by one space, or its
     SHA-256 if digest is set (texts then leave the tables as soon as they are decided).
     """
-    scratch = Scratch(docs.sparkSession, "substring")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    one = scratch.write(rows.select("doc_id", _level_one(window)("text").alias("s")).filter(F.size("s.half") > 0).select("doc_id", "s.*"))
-    halves = one.select("doc_id", F.explode("half").alias("h"))
-    repeated = scratch.write(halves.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
-    found = halves.join(repeated.hint("merge"), "h").groupBy("doc_id").agg(F.collect_set("h").alias("half"))
-    copies = one.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
-    same = salted_join(one.select("doc_id", "hi", "lo"), copies, ["hi", "lo"], "inner").groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo", "first")).alias("copies"))
-    survive = scratch.write(_beside(found, same))
-    scratch.drop(one, repeated)
-    decided = _beside(rows, survive, "left").withColumn("r", _level_two(window, digest)("doc_id", "text", "half", "copies"))
-    counted = F.col("r.weight") > 0
-    held = F.when(counted | F.col("r.kept").isNull(), F.col("text")).alias("text")
-    two = scratch.write(decided.select("doc_id", held, F.when(counted, F.col("half")).alias("half"), "r.*"))
-    scratch.drop(survive)
-    hashes = _window_hashes(window)
-    windows = lambda t: t.select("doc_id", F.explode(hashes("text", "half", "weight")).alias("w")).select("doc_id", "w.*")
-    again = scratch.write(windows(two.filter("weight > 0")).groupBy("h", "g").agg(F.sum("n").alias("n")).filter("n > 1").select("h", "g"))
-    back = windows(two.filter("kept is null")).select("doc_id", "h", "g").join(again.hint("merge"), ["h", "g"]).groupBy("doc_id").agg(F.collect_set("h").alias("repeated"))
-    back = scratch.write(back)
-    scratch.drop(again)
-    last = _beside(two.filter("kept is null").select("doc_id", "text"), back, "left").select("doc_id", _removal(window, digest)("text", "repeated").alias("r"))
-    return two.filter("kept is not null").select("doc_id", "n_words", "n_removed", "kept").unionAll(last.select("doc_id", "r.*"))
-
-
-def _beside(left: DataFrame, right: DataFrame, how: str = "full") -> DataFrame:
-    """left and right side by side for each doc_id; a null id matches a null id."""
-    right = right.withColumnRenamed("doc_id", "__id").hint("merge")
-    joined = left.join(right, F.col("doc_id").eqNullSafe(F.col("__id")), how)
-    if how == "left":
-        return joined.drop("__id")
-    return joined.withColumn("doc_id", F.coalesce("doc_id", "__id")).drop("__id")
+    scratch, rungs = Scratch(docs.sparkSession, "substring"), ladder(window)
+    rows = docs.select(F.xxhash64(F.col(doc_id)).alias("k"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    run, schema = _marks(rungs)
+    marks = scratch.write(rows.select("k", "text").mapInArrow(run, schema))
+    live, spent = marks.filter("h0 is not null").drop("hi", "lo"), []
+    for j in range(len(rungs) - 1):
+        h = f"h{j}"
+        repeated = scratch.write(live.groupBy(h).agg(F.sum(f"n{j}").alias("n")).filter("n > 1").select(h))
+        spent.append(repeated)
+        live = live.join(repeated.hint("merge"), h).drop(h, f"n{j}") if j < len(rungs) - 2 else live.select("k", h).join(repeated.hint("merge"), h)
+        if repeated.isEmpty():
+            live = live.limit(0).withColumn(f"h{len(rungs) - 2}", F.lit(0).cast("long"))
+            break
+        if j < len(rungs) - 2:
+            live = scratch.write(live)
+            spent.append(live)
+    sequences = marks.filter("hi is not null").select("k", "hi", "lo")
+    copies = sequences.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min("k").alias("first")).filter("n > 1")
+    same = salted_join(sequences, copies, ["hi", "lo"], "inner")
+    part = lambda t, kind_, a, b, id_, body: t.select("k", kind_.cast("byte").alias("kind"), a.alias("a"), b.alias("b"), id_.alias("doc_id"), body.alias("text"))
+    nothing, none, no_text = F.lit(0).cast("long"), F.lit(None).cast(kind), F.lit(None).cast("string")
+    met = part(same, F.when(F.col("k") == F.col("first"), FIRST).otherwise(COPY), F.col("hi"), F.col("lo"), none, no_text)
+    met = met.unionAll(part(live, F.lit(CHOSEN), F.col(f"h{len(rungs) - 2}"), nothing, none, no_text))
+    met = met.unionAll(part(rows, F.lit(TEXT), nothing, nothing, F.col("doc_id"), F.col("text")))
+    met = met.repartition("k").sortWithinPartitions("k", "kind")
+    result = "n_words long, n_removed long, kept string"
+    two = scratch.write(met.mapInArrow(_windows(rungs, digest), f"doc_id {kind}, rid long, p int, h long, g int, n int, text string, {result}"))
+    scratch.drop(marks, *spent)
+    counted = two.filter("h is not null")
+    again = scratch.write(counted.groupBy("h", "g").agg(F.sum("n").alias("n")).filter("n > 1").select("h", "g"))
+    back = counted.filter("rid >= 0").select("rid", "p", "h", "g").join(again.hint("merge"), ["h", "g"]).select("rid", "p", none.alias("doc_id"), no_text.alias("text"))
+    back = back.unionAll(two.filter("text is not null").select("rid", F.lit(-1).alias("p"), "doc_id", "text"))
+    back = back.repartition("rid").sortWithinPartitions("rid", F.col("p") < 0)
+    last = back.mapInArrow(_removal(window, digest), f"doc_id {kind}, {result}")
+    return two.filter("kept is not null").select("doc_id", "n_words", "n_removed", "kept").unionAll(last)
 
 
 def op1_substring_dedup(spark, sf_dir):

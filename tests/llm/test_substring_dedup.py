@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quern.llm.substring_dedup import op1_substring_dedup, remove_repeats, window_hash
+from quern.llm.substring_dedup import ladder, lanes_of, op1_substring_dedup, remove_repeats, samples, window_hash
 
 
 def brute(texts, window):
@@ -50,3 +50,28 @@ def test_window_hash():
         for x in h[:n].tolist():
             want = (want * 0x9E3779B97F4A7C15 + x) % (1 << 64)
         assert got[0] == want
+
+
+def test_ladder_doubles():
+    assert ladder(35) == [9, 18, 35] and ladder(2) == [1, 2] and ladder(100) == [13, 25, 50, 100]
+    assert all(b <= 2 * a for w in range(2, 200) for a, b in zip(ladder(w), ladder(w)[1:]))
+
+
+def test_samples_of_equal_windows_are_equal():
+    r = random.Random(4)
+    shared = [str(r.random()).encode() for _ in range(35)]
+    docs = [[str(r.random()).encode() for _ in range(a)] + shared + [str(r.random()).encode() for _ in range(b)] for a, b in ((0, 7), (30, 0), (11, 40))]
+    of = np.repeat(np.arange(3), [len(w) for w in docs])
+    doc, h0, n0, h1, n1 = samples(lanes_of([x for w in docs for x in w])[0], of, ladder(35))
+    for h, n in ((h0, n0), (h1, n1)):
+        met = Counter(h[n > 0].tolist())
+        assert sum(c == 3 for c in met.values()) >= 1 and max(met.values()) == 3
+    assert len(doc) < len(of) / 3
+
+
+def test_ids_of_text_and_a_ladder_that_ends_early(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(8)] + [None, "short"]
+    docs = spark.createDataFrame([(f"id{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    got = {x.doc_id: x for x in remove_repeats(docs).collect()}
+    assert {k: x.n_removed for k, x in got.items()} == dict.fromkeys((f"id{i}" for i in range(10)), 0)
+    assert got["id3"].kept == texts[3] and got["id8"].kept == ""
