@@ -1,199 +1,226 @@
-"""Toxicity from class-conditional Kneser-Ney models.
+"""Toxicity from class-conditional Kneser-Ney models with shared backoff.
 
-One model of toxic and one of ordinary text. Word counts by class come from all labelled rows
-that may be learned from. A word keeps counts of its own in each class where its document
-frequencies, and then its contexts, differ between the classes beyond chance; failing that, the
-words of its longest such stem (first STEMS letters) do so together; any other word is a rare or
-common expression that both classes smooth through the same shared backoff, so it says nothing
-for either side. Over these units each class has interpolated Kneser-Ney estimates: discounted
-bigram counts after units, then the class's discounted continuation counts (in how many contexts
-a unit occurs, so that a word of one much copied text counts little), then continuation counts
-shared by both classes.
+One model of toxic and one of ordinary text, over all words and bigrams of all labelled rows that
+may be learned from. Counts are of contexts: a word counts once for each word before it in a
+document, and texts that are the same count once, so that repetition does not weigh.
 
-Bigrams are scored only where both words are units and the bigram was seen; any other word takes
-its unigram ratio, without the backoff weight of the word before it.
+A word is reached along its prefixes (4 letters, 6 letters, the word), each step given the one
+before: P(step | before) = (n - d) / n(before) + backoff * Pshared(step | before). The shared
+model holds the counts of both classes. What it explains of a class's count n, and SPREAD standard
+deviations more, is the discount d; all that is discounted is the class's mass for the shared
+backoff. So a rare expression that shows no excess of its own is smoothed through its shorter
+prefixes and the shared counts, and says nothing for either side. Bigrams are one more step:
+their backoff is the shared bigram count, tilted by the class's preference for the word.
+
+Where neither class has an excess both give the same shared estimate, which cancels from the
+ratio. The model therefore keeps the steps and bigrams with an excess alone: that changes no
+score. A bigram of SPREAD contexts or fewer cannot have any and leaves before the joins. Nothing
+else is cut, however rare or frequent.
 
 The log-likelihoods of a text under both models are compared per word, over the whole text and
 in its passages of PASSAGE words; a logistic function of the two, fitted on a bounded sample of
 CALIBRATION labelled rows, turns them into a score.
 
-The model holds every unit with evidence and every bigram of two of them, however many there are
-and however rare, so what is broadcast grows with the words that tell the classes apart.
-
-Null, empty and blank texts score as a text of neutral words. Without labels of both values every score
-is the smoothed share of label 1, or 0.5. A document labelled twice counts with its larger label. A
-null id matches no label. Repeated rows are scored each; an empty table gives an empty result;
-columns that are not named are never read.
+Null, empty and blank texts score as a text of words without evidence. Without labels of both values every
+score is the smoothed share of label 1, or 0.5. A document labelled twice counts with its larger
+label, and so does a text. A null id matches no label. Repeated rows are scored each; an empty
+table gives an empty result; columns that are not named are never read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Scratch, documents, labels
 from .quality_mil import fold
 
-STEMS = (6, 4)
+STEMS = (4, 6)
 PASSAGE = 24
 #: The classifier's bound: labelled rows the logistic function is fitted on.
 CALIBRATION = 6000
-#: Least evidence (G squared, one degree of freedom) for counts of a unit's own.
-EVIDENCE = 12.0
-DISCOUNT = 0.75
+#: Standard deviations of a shared count that are discounted with it.
+SPREAD = 4.0
 THRESHOLD = 0.7
 WORD = re.compile(r"\w+")
-#: Distinct units counted together before they are passed on; words a scorer remembers.
-TOGETHER = 200_000
+#: Words counted together, and words a scorer remembers.
+TOGETHER, KNOWN = 1 << 16, 200_000
 
 
 def tokens(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def stems(word: str) -> list[str]:
-    return [word[:n] + "~" for n in STEMS if len(word) > n]
+def steps(word: str) -> list[tuple[str, str]]:
+    """(before, step) from the root to the word, by its prefixes."""
+    units = [*[word[:n] + "~" for n in STEMS if len(word) > n], word]
+    return list(zip(["", *units], units))
 
 
-def unit_of(word: str, units) -> str:
-    """The word or its longest stem in units; empty if neither is."""
-    if word in units:
-        return word
-    return next((s for s in stems(word) if s in units), "")
+class _Codes(dict):
+    """A number for each word; words of one (ratio, number in pairs) share it."""
 
+    def __init__(self, of):
+        super().__init__()
+        self.of, self.number, self.ratio, self.place = of, {}, np.zeros(0), np.zeros(0, np.int64)
 
-def evidence(k: tuple[float, float], n: tuple[float, float]) -> float:
-    """G squared of k events among n of two classes."""
-    share = sum(k) / max(sum(n), 1)
-    return 2 * sum(a * np.log(a / (b * share)) for a, b in zip(k, n) if a > 0)
+    def __missing__(self, word: str) -> int:
+        found = self[word] = self.number.setdefault(self.of(word), len(self.number))
+        return found
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ratio and number in pairs by code."""
+        if len(self.number) != len(self.ratio):
+            self.ratio, self.place = (np.array(x) for x in zip(*self.number))
+        return self.ratio, self.place
 
-def _unit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """unit, and for each class its number of tokens and of documents, of what a task has read."""
-    words, docs = (Counter(), Counter()), (Counter(), Counter())
 
-    def out():
-        units = sorted(words[0].keys() | words[1].keys())
-        columns = [pa.array([c[u] for u in units], pa.int64()) for c in (*words, *docs)]
-        yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), *columns], ["unit", "n0", "n1", "d0", "d1"])
-        for c in (*words, *docs):
-            c.clear()
+def word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
 
+
+def contexts(docs: list[tuple[list[str], int]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of docs (words, class); then for each distinct pair of neighbours of
+    each document the number of the left word (-1 at the start), that of the right one, and the class."""
+    number: dict[str, int] = {}
+    right = np.array([number.setdefault(x, len(number)) for w, _ in docs for x in w], np.int64)
+    length = np.array([len(w) for w, _ in docs])
+    doc = np.repeat(np.arange(len(docs)), length)
+    left = np.concatenate([[-1], right[:-1]])
+    left[np.cumsum(length)[:-1][length[1:] > 0]] = -1
+    order = np.lexsort((right, left, doc))
+    once = np.ones(len(order), bool)
+    once[1:] = np.any([x[order][1:] != x[order][:-1] for x in (doc, left, right)], axis=0)
+    at = order[once]
+    return list(number), left[at], right[at], np.array([y for _, y in docs])[doc[at]]
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[list[str], int]]]:
+    """Non-empty documents of (text, class) rows, of about TOGETHER words a list; a longer one is alone."""
+    held, n = [], 0
     for batch in batches:
-        for text, y in zip(batch.column(0), batch.column(1)):
-            w = tokens(text.as_py())
-            both = w + [s for x in w for s in stems(x)]
-            words[y.as_py()].update(both)
-            docs[y.as_py()].update(set(both))
-            if len(words[0]) + len(words[1]) > TOGETHER:
-                yield from out()
-    yield from out()
-
-
-def _pair_counts(units: frozenset[str]):
-    """Bigrams with a unit in them: left, right, and their number in each class. A word on the
-    right counts for itself and for its stems, so that a stem knows of all its words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = (Counter(), Counter())
-
-        def out():
-            found = sorted(pairs[0].keys() | pairs[1].keys())
-            columns = [pa.array([p[k] for p in found], pa.string()) for k in (0, 1)] + [pa.array([c[p] for p in found], pa.int64()) for c in pairs]
-            flags = [pa.array([p[k] in units for p in found], pa.bool_()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*columns, *flags], ["a", "b", "n0", "n1", "a_unit", "b_unit"])
-            for c in pairs:
-                c.clear()
-
-        for batch in batches:
-            for text, y in zip(batch.column(0), batch.column(1)):
-                w = tokens(text.as_py())
-                left, count = [unit_of(x, units) for x in w], pairs[y.as_py()]
-                for i in range(1, len(w)):
-                    if left[i]:
-                        count.update((left[i - 1] or w[i - 1], u) for u in (w[i], *stems(w[i])) if u in units)
-                    elif left[i - 1]:
-                        count[left[i - 1], w[i]] += 1
-                if len(pairs[0]) + len(pairs[1]) > TOGETHER:
-                    yield from out()
-        yield from out()
+        for i in range(0, batch.num_rows, 64):
+            for text, y in zip(batch.column(0).slice(i, 64).to_pylist(), batch.column(1).slice(i, 64).to_pylist()):
+                if w := tokens(text):
+                    if held and n + len(w) > TOGETHER:
+                        yield held
+                        held, n = [], 0
+                    held.append((w, y))
+                    n += len(w)
+    if held:
+        yield held
 
-    return run
 
+WORDS = "word string, h long, n0 long, n1 long, l0 long, l1 long"
 
-class _Index(dict):
-    """The number of a word's unit, from 1 on; 0 for words without one."""
 
-    def __init__(self, units):
-        super().__init__()
-        self.units = {u: i for i, u in enumerate(units, 1)}
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, hash, and in each class its contexts and the pairs that it begins."""
+    for docs in _together(batches):
+        words, left, right, y = contexts(docs)
+        n = [np.bincount(right[y == c], minlength=len(words)) for c in (0, 1)]
+        begun = [np.bincount(left[(y == c) & (left >= 0)], minlength=len(words)) for c in (0, 1)]
+        h = np.fromiter(map(word_hash, words), np.uint64, len(words)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(h), *map(pa.array, (*n, *begun))], ["word", "h", "n0", "n1", "l0", "l1"])
 
-    def __missing__(self, word: str) -> int:
-        found = self[word] = self.units.get(unit_of(word, self.units), 0)
-        return found
 
-    def __reduce__(self):
-        return _Index, (list(self.units),)
+PAIRS = "ha long, hb long, n0 long, n1 long"
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of two neighbours, and the documents of each class that have them."""
+    for docs in _together(batches):
+        words, left, right, y = contexts(docs)
+        key, n = left * len(words) + right, []
+        key, y = key[left >= 0], y[left >= 0]
+        pairs, place = np.unique(key, return_inverse=True)
+        n = [np.bincount(place[y == c], minlength=len(pairs)) for c in (0, 1)]
+        h = np.fromiter(map(word_hash, words), np.uint64, len(words)).view(np.int64)
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, (h[pairs // len(words)], h[pairs % len(words)], *n))), ["ha", "hb", "n0", "n1"])
+
+
+def excess(n, expected):
+    """What a count has beyond the discount; none if it is not positive."""
+    return n - expected - SPREAD * (expected + 1) ** 0.5
 
 
 class ClassModels:
-    """Log-likelihood ratios, toxic over ordinary, of words in context."""
-
-    def __init__(self, n, units, shared, pairs, before, followers):
-        """n: tokens of each class. units: in how many contexts of each class each unit occurs;
-        shared: of both classes together. pairs (a, b, n0, n1): bigrams in each class;
-        before, followers: how often, and by how many words, each unit is followed in each class."""
-        share = sum(sum(v) for v in units.values()) / max(sum(n), 1)
-        mass = sum(shared.values()) + 0.5 * len(units)
-        lowest = {u: share * (shared.get(u, 0) + 0.5) / mass for u in units}
-        self.p, rest = {}, []
-        for c in (0, 1):
-            seen = sum(v[c] > 0 for v in units.values())
-            back = (DISCOUNT * seen + 1) / (n[c] + 1)
-            self.p[c] = {u: max(v[c] - DISCOUNT, 0) / (n[c] + 1) + back * lowest[u] for u, v in units.items()}
-            rest.append(max(1 - sum(self.p[c].values()), 1e-9))
-        self.rest = float(np.log(rest[1] / rest[0]))
-        self.units = {u: float(np.log(self.p[1][u] / self.p[0][u])) for u in units}
-        self.known = _Index(units)
-        self.table = np.array([self.rest, *self.units.values()])
-        self.width = len(units) + 1
-        self.keys, self.pairs = self.bigrams(list(units), pairs, before, followers)
+    """Log-likelihood ratios, toxic over ordinary, of words in context.
+
+    units: (before, step, n0, n1, t0, t1) of the steps with an excess in a class; n: their
+    contexts by class, t: those of `before`. pairs: (ha, hb, n0, n1, l0, l1, ratio) of such
+    bigrams; l: pairs that the left word begins, ratio: that of the right word alone.
+    """
+
+    def __init__(self, units, pairs=()):
+        self.units, self.pairs = [tuple(u) for u in units], [tuple(p) for p in pairs]
         self.weights, self.constant = np.zeros(3), None
+        self._build()
 
-    def bigrams(self, units: list[str], pairs: pa.Table, before, followers) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted keys of the bigrams of two units, and their log ratios."""
-        names = pa.array(units, pa.string())
-        a, b = (pc.fill_null(pc.index_in(pairs[c], value_set=names), -1).to_numpy().astype(np.int64) for c in ("a", "b"))
-        kept = (a >= 0) & (b >= 0)
-        a, b = a[kept], b[kept]
-        q = []
-        for c in (0, 1):
-            k, f = (np.array([of.get(u, (0, 0))[c] for u in units], float)[a] for of in (before, followers))
-            back = np.where(k > 0, np.clip(DISCOUNT * f / np.maximum(k, 1), 1e-3, 1), 1)
-            seen = np.maximum(pairs[f"n{c}"].to_numpy()[kept] - DISCOUNT, 0) / np.maximum(k, 1)
-            q.append(np.where(k > 0, seen, 0) + back * np.array(list(self.p[c].values()))[b])
-        keys = (a + 1) * self.width + b + 1
-        order = np.argsort(keys)
-        return keys[order], np.log(q[1] / q[0])[order]
+    def __reduce__(self):
+        return _restored, (self.units, self.pairs, self.weights, self.constant)
+
+    def _build(self) -> None:
+        # Both classes' discounted mass of each step before, then the factor of each step.
+        found, spent = {}, {}
+        for before, step, n0, n1, t0, t1 in self.units:
+            e = [max(excess(n, t * (n0 + n1) / (t0 + t1)), 0.0) / max(t, 1) for n, t in ((n0, t0), (n1, t1))]
+            found[before, step] = (e, (n0 + n1) / (t0 + t1))
+            spent[before] = np.add(spent.get(before, 0.0), e)
+        # A step's name tells what stands before it.
+        self.step = {k[1]: _log_ratio(e, 1 - spent[k[0]], (shared, shared)) for k, (e, shared) in found.items()}
+        self.other = {before: float(np.log((1 - s[1]) / (1 - s[0]))) for before, s in spent.items()}
+        self.rest = self.other.get("", 0.0)
+        follows, spent = {}, {}
+        for ha, hb, n0, n1, l0, l1, ratio in self.pairs:
+            b = tilted(n0 + n1, l0, l1, ratio)
+            e = [max(excess(n, t * p), 0.0) / max(t, 1) for n, t, p in ((n0, l0, b[0]), (n1, l1, b[1]))]
+            follows[ha, hb] = (e, b)
+            spent[ha] = np.add(spent.get(ha, 0.0), e)
+        self.after = {ha: float(np.log((1 - s[1]) / (1 - s[0]))) for ha, s in spent.items()}
+        self.pair = {k: _log_ratio(e, 1 - spent[k[0]], b) for k, (e, b) in follows.items()}
+        # Numbers of the words in pairs, from 1 on, and the pairs' ratios by left * width + right.
+        place = {h: i for i, h in enumerate(sorted({h for k in self.pair for h in k}), 1)}
+        self.width = len(place) + 1
+        self.follow = np.zeros(self.width)
+        self.follow[[place[ha] for ha in self.after]] = list(self.after.values())
+        keyed = sorted((place[a] * self.width + place[b], r) for (a, b), r in self.pair.items())
+        self.keys, self.values = np.array([k for k, _ in keyed], np.int64), np.array([r for _, r in keyed], np.float64)
+        self.codes = _Codes((lambda w: (self.word(w), place.get(word_hash(w), 0))) if place else lambda w: (self.word(w), 0))
+
+    def word(self, word: str) -> float:
+        """The ratio of a word by its steps."""
+        n = len(word)
+        if n <= STEMS[0]:
+            return self.step.get(word, self.rest)
+        before = word[: STEMS[0]] + "~"
+        out = self.step.get(before, self.rest)
+        if before in self.other or n > STEMS[1] and word[: STEMS[1]] + "~" in self.other:
+            for before, step in steps(word)[1:]:
+                out += self.step.get(step, self.other.get(before, 0.0))
+        return out
 
     def ratios(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > TOGETHER:
-            self.known.clear()
-        ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        out = self.table[ids]
+        if len(self.codes) > KNOWN:
+            self.codes.clear()
+        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        if not len(codes):
+            return np.zeros(0)
+        ratio, place = self.codes.tables()
+        out = ratio[codes]
         if len(self.keys):
-            at = np.flatnonzero((ids[1:] > 0) & (ids[:-1] > 0)) + 1
-            key = ids[at - 1] * self.width + ids[at]
-            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            found = self.keys[place] == key
-            out[at[found]] = self.pairs[place[found]]
+            at = place[codes]
+            out[1:] += self.follow[at[:-1]]
+            key = at[:-1] * self.width + at[1:]
+            where = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = np.flatnonzero(self.keys[where] == key)
+            out[found + 1] = self.values[where[found]]
         return out
 
     def features(self, text: str | None) -> tuple[float, float]:
@@ -206,15 +233,16 @@ class ClassModels:
         return float(r.mean()), float((sums[n:] - sums[:-n]).max() / n)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic weights by Newton steps with a little shrinkage."""
+        """Logistic weights by Newton steps with a little shrinkage of the standardised features."""
         if not 0 < y.sum() < len(y):
             self.constant = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.5
             return
-        x = np.column_stack([np.ones(len(x)), x])
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
-            grad = x.T @ (p - y) + 1e-2 * self.weights
-            self.weights = self.weights - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), grad)
+        mean, scale, w = x.mean(axis=0), x.std(axis=0) + 1e-9, np.zeros(3)
+        x = np.column_stack([np.ones(len(x)), (x - mean) / scale])
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), x.T @ (p - y) + 1e-2 * w)
+        self.weights = np.concatenate([[w[0] - (w[1:] * mean / scale).sum()], w[1:] / scale])
 
     def score(self, texts) -> np.ndarray:
         if self.constant is not None:
@@ -223,45 +251,75 @@ class ClassModels:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
+def _restored(units, pairs, weights, constant) -> ClassModels:
+    made = ClassModels(units, pairs)
+    made.weights, made.constant = weights, constant
+    return made
+
+
+def _log_ratio(own, rest, shared) -> float:
+    p = [own[c] + rest[c] * shared[c] for c in (0, 1)]
+    return float(np.log(p[1] / p[0]))
+
+
+def tilted(n, l0, l1, ratio):
+    """The shared estimate of a bigram with n contexts in both classes, by class: the classes
+    share the n as their preference for the right word says."""
+    more = np.exp(ratio)
+    mean = (l0 + l1 * more) / (l0 + l1)
+    return n / (l0 + l1) / mean, n / (l0 + l1) * more / mean
+
+
+def unit_table(words: DataFrame) -> DataFrame:
+    """(before, step, n0, n1, t0, t1) with an excess, from the words' counts."""
+    units = [F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("~"))) for n in STEMS]
+    chain = F.array_compact(F.array(*units, F.col("word")))
+    each = words.withColumn("chain", chain).select("n0", "n1", "chain", F.posexplode("chain").alias("i", "step"))
+    each = each.withColumn("before", F.when(F.col("i") == 0, "").otherwise(F.get("chain", F.col("i") - 1)))
+    each = each.groupBy("before", "step").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    total = each.groupBy("before").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
+    share = (F.col("n0") + F.col("n1")) / (F.col("t0") + F.col("t1"))
+    some = [excess(F.col(f"n{c}"), F.col(f"t{c}") * share) > 0 for c in (0, 1)]
+    return each.join(total.hint("merge"), "before").filter(some[0] | some[1]).select("before", "step", "n0", "n1", "t0", "t1")
+
+
+def pair_table(pairs: DataFrame, words: DataFrame, model: ClassModels) -> DataFrame:
+    """(ha, hb, n0, n1, l0, l1, ratio) with an excess, from the pairs' counts."""
+
+    @F.arrow_udf("double")
+    def ratio(column: pa.Array) -> pa.Array:
+        return pa.array([model.word(w) for w in column.to_pylist()], pa.float64())
+
+    many = pairs.groupBy("ha", "hb").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(F.greatest("n0", "n1") > SPREAD)
+    many = many.join(words.select(F.col("h").alias("ha"), "l0", "l1").hint("merge"), "ha")
+    many = many.join(words.select(F.col("h").alias("hb"), ratio("word").alias("ratio")).hint("merge"), "hb")
+    mean = (F.col("l0") + F.col("l1") * F.exp("ratio")) / (F.col("l0") + F.col("l1"))
+    shared = (F.col("n0") + F.col("n1")) / (F.col("l0") + F.col("l1")) / mean
+    some = [excess(F.col("n0"), F.col("l0") * shared) > 0, excess(F.col("n1"), F.col("l1") * shared * F.exp("ratio")) > 0]
+    return many.filter(some[0] | some[1]).select("ha", "hb", "n0", "n1", "l0", "l1", "ratio")
+
+
 def train(docs: DataFrame, marks: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", label: str = "label") -> ClassModels:
     """The models from docs and marks (doc_id, label 0 or 1)."""
     marks = marks.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(marks.hint("merge"), "doc_id")
-    rows = scratch.write(rows)
-    counts = rows.select("text", "y").mapInArrow(_unit_counts, "unit string, n0 long, n1 long, d0 long, d1 long")
-    counts = scratch.write(counts.groupBy("unit").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "d0", "d1")]))
-    words = counts.filter(~F.col("unit").endswith("~"))
-    n = [x or 0 for x in words.agg(F.sum("n0"), F.sum("n1")).first()]
-    docs_of = {y: k for y, k in rows.groupBy("y").agg(F.count("*")).collect()}
-    a, b = docs_of.get(0, 0), docs_of.get(1, 0)
-
-    def part(k: Column, of: int, other: int) -> Column:
-        """k log(k / expected), where k of all documents with the unit are of one class."""
-        return F.when(k > 0, k * F.log(k * F.lit((a + b) / max(of, 1)) / (F.col("d0") + F.col("d1")))).otherwise(0.0)
-
-    strength = 2 * (part(F.col("d0"), a, b) + part(F.col("d1"), b, a))
-    units = frozenset(r.unit for r in counts.filter(strength >= EVIDENCE).select("unit").collect())
-    pairs = rows.select("text", "y").mapInArrow(_pair_counts(units), "a string, b string, n0 long, n1 long, a_unit boolean, b_unit boolean")
-    pairs = scratch.write(pairs.groupBy("a", "b", "a_unit", "b_unit").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    some = lambda c: F.count(F.when(F.col(c) > 0, 1))
-    # A row for each unit.
-    contexts = pairs.filter("b_unit").groupBy("b").agg(some("n0").alias("x"), some("n1").alias("y"), F.count("*").alias("n")).collect()
-    after = pairs.filter("a_unit").groupBy("a").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), some("n0").alias("x"), some("n1").alias("y")).collect()
-    both = pairs.filter("a_unit AND b_unit").select("a", "b", "n0", "n1").toArrow()
-    kept = {r.b: (r.x, r.y) for r in contexts if evidence((r.x, r.y), n) >= EVIDENCE}
-    model = ClassModels(
-        n,
-        kept,
-        {r.b: r.n for r in contexts if r.b in kept},
-        both,
-        {r.a: (r.n0, r.n1) for r in after},
-        {r.a: (r.x, r.y) for r in after},
-    )
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "y").limit(CALIBRATION).dropDuplicates()
-    fitted = rows.join(F.broadcast(sample.select("doc_id")), "doc_id").select("doc_id", "y", _features(model)("text").alias("f")).select("doc_id", "y", "f.*").limit(2 * CALIBRATION).collect()
+    body = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(F.xxhash64(F.col(text)), F.coalesce(F.length(F.col(text)), F.lit(-1))).alias("th"))
+    # Of each text one id, by rows without texts; then the texts of these ids.
+    chosen = body.select("doc_id", "th").join(marks.hint("merge"), "doc_id").groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y"))
+    rows = scratch.write(body.join(chosen.hint("merge"), ["doc_id", "th"]).select("th", "text", "y"))
+    plain = rows.select("text", "y")
+    sums = [F.sum(c).alias(c) for c in ("n0", "n1", "l0", "l1")]
+    words = scratch.write(plain.mapInArrow(_word_counts, WORDS).groupBy("word", "h").agg(*sums))
+    units = scratch.write(unit_table(words)).collect()  # steps with an excess alone
+    model = ClassModels(units)
+    pairs = pair_table(plain.mapInArrow(_pair_counts, PAIRS), words, model)
+    unsigned = lambda x: x & (1 << 64) - 1
+    pairs = [(unsigned(p.ha), unsigned(p.hb), *p[2:]) for p in scratch.write(pairs).collect()]  # bigrams with an excess alone
+    model = ClassModels(sorted(map(tuple, units)), sorted(pairs))
+    sample = rows.select("th").distinct().orderBy(F.xxhash64("th"), "th").limit(CALIBRATION)  # at most so many rows are broadcast
+    fitted = rows.join(F.broadcast(sample), "th").groupBy("th", "y").agg(F.first("text").alias("text")).select("y", _features(model)("text").alias("f")).select("y", "f.*").collect()
     fitted.sort()
     model.fit(np.array([(r.whole, r.most) for r in fitted]).reshape(-1, 2), np.array([r.y for r in fitted], float))
-    scratch.drop(rows, counts, pairs)
+    scratch.drop(rows, words)
     return model
 
 

@@ -1,6 +1,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -17,12 +18,7 @@ def test_held_out_accuracy(spark):
     pairs = [(rows[x.doc_id].predicted, x.toxic) for x in spark.read.parquet(f"{d}/labels.parquet").collect() if rows[x.doc_id].held_out]
     hit = sum(p and t for p, t in pairs)
     assert hit >= 0.9 * sum(t for _, t in pairs)
-    assert hit >= 0.93 * sum(p for p, _ in pairs)
-
-
-def brute_evidence(k0, n0, k1, n1):
-    e = (k0 + k1) / (n0 + n1)
-    return 2 * sum(k * math.log(k / (n * e)) for k, n in ((k0, n0), (k1, n1)) if k)
+    assert hit >= 0.97 * sum(p for p, _ in pairs)
 
 
 def corpus(n=400, seed=1):
@@ -37,31 +33,85 @@ def corpus(n=400, seed=1):
     return out
 
 
-def test_units_have_evidence_in_contexts(spark):
-    data = corpus()
-    data += [(1000 + i, "copied singular oddity words here", 1) for i in range(30)]
+def trained(spark, data):
     docs = spark.createDataFrame([(i, t, "x") for i, t, _ in data], "doc_id long, text string, y string")
-    marks = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, label int")
-    model = toxicity.train(docs, marks, Scratch(spark, "t"))
-    assert {"awful", "horrid", "vilest", "vilely"} <= model.units.keys()
-    assert not {"copied", "singular", "oddity"} & model.units.keys()
-    assert math.isclose(toxicity.evidence((3, 40), (900, 100)), brute_evidence(3, 900, 40, 100))
+    return toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, label int"), Scratch(spark, "t"))
+
+
+def brute(data):
+    """Step and pair ratios from the definition, by plain loops over all words and bigrams."""
+    steps, pairs, begun = Counter(), Counter(), Counter()
+    for text, y in {t: y for _, t, y in data}.items():
+        w = toxicity.tokens(text)
+        for a, b in set(zip([None, *w], w)):
+            chain = [b[:4] + "~"] * (len(b) > 4) + [b[:6] + "~"] * (len(b) > 6) + [b]
+            for k, unit in enumerate(chain):
+                steps[chain[k - 1] if k else "", unit, y] += 1
+            if a is not None:
+                pairs[a, b, y] += 1
+                begun[a, y] += 1
+    total = Counter()
+    for (before, _, y), n in steps.items():
+        total[before, y] += n
+
+    def conditional(counts, of, shared):
+        """P(key | group) of each class: own excess, and the rest of the mass for the shared estimate."""
+        own = {}
+        for key in {k[:2] for k in counts}:
+            for y in (0, 1):
+                expected = of[key[0], y] * shared(key, y)
+                x = counts[(*key, y)] - expected - 4 * math.sqrt(expected + 1)
+                if x > 0:
+                    own[key, y] = x / of[key[0], y]
+        spent = Counter()
+        for (key, y), x in own.items():
+            spent[key[0], y] += x
+        return {key: math.log((own.get((key, 1), 0) + (1 - spent[key[0], 1]) * shared(key, 1)) / (own.get((key, 0), 0) + (1 - spent[key[0], 0]) * shared(key, 0))) for key in {k[:2] for k in counts}}
+
+    step = conditional(steps, total, lambda k, y: (steps[(*k, 0)] + steps[(*k, 1)]) / (total[k[0], 0] + total[k[0], 1]))
+
+    def word(b):
+        chain = ["", *[b[:4] + "~"] * (len(b) > 4), *[b[:6] + "~"] * (len(b) > 6), b]
+        return sum(step[x] for x in zip(chain, chain[1:]))
+
+    def tilted(k, y):
+        n, l0, l1 = pairs[(*k, 0)] + pairs[(*k, 1)], begun[k[0], 0], begun[k[0], 1]
+        z = (l0 + l1 * math.exp(word(k[1]))) / (l0 + l1)
+        return n / (l0 + l1) * (math.exp(word(k[1])) if y else 1) / z
+
+    return word, conditional(pairs, begun, tilted)
+
+
+def test_ratios_match_the_definition(spark):
+    data = corpus(600) + [(2000 + i, f"quiet {'night train' if i % 6 else 'train night'} w{i}", int(i % 3 == 0 and i % 6 > 0)) for i in range(90)]
+    model, (word, pair) = trained(spark, data), brute(data)
+    assert any(model.step.values())
+    for _, text, _ in data[::7] + data[-20:]:
+        w = toxicity.tokens(text)
+        got = model.ratios(w)
+        for i, b in enumerate(w):
+            assert math.isclose(model.word(b), word(b), abs_tol=1e-9)
+            if i and (w[i - 1], b) in pair:  # of bigrams without an excess the word's ratio stands for the normalised one
+                if (toxicity.word_hash(w[i - 1]), toxicity.word_hash(b)) in model.pair:
+                    assert math.isclose(got[i], pair[w[i - 1], b], abs_tol=1e-9)
+
+
+def test_words_stems_and_phrases(spark):
+    data = corpus() + [(1000 + i, "copied singular oddity words here", 1) for i in range(30)]
+    r = random.Random(5)
+    ordinary = [f"{a} {b}" for a in ("red", "blue", "cold") for b in ("door", "lamp", "mist")]
+    for i in range(600):  # red lamp and cold door alone are toxic; each word is as frequent in either class
+        toxic = i % 4 == 0
+        pick = [x for x in ordinary if x in ("red lamp", "blue mist", "cold door") or not toxic]
+        data.append((5000 + i, " ".join(x for k in range(6) for x in (f"f{r.randrange(10**6)}", r.choice(pick))), int(toxic)))
+    model = trained(spark, data)
+    assert {"awfu~", "horr~", "vile~"} <= model.step.keys()
+    assert all(abs(model.word(w)) < 0.2 for w in ("copied", "singular", "oddity"))  # one text, however often copied
     fresh = corpus(200, 2)
     got = model.score([t for _, t, _ in fresh])
-    assert all((g >= 0.7) == bool(y) for g, (_, _, y) in zip(got, fresh))
-    assert model.score(["such a vileness"])[0] > model.score(["such a kindness"])[0]  # by its stem
-
-
-def test_model_keeps_all_units_and_rare_bigrams(spark):
-    """More units than 20,000, and bigrams seen once, are kept."""
-    words = [f"q{i}z" for i in range(21_000)]
-    data = [(i, " ".join(words), 1) for i in range(4)] + [(4, " ".join(reversed(words)), 1)] + [(10 + i, "calm words here " * 10_000, 0) for i in range(40)]
-    data += [(5 + k, " ".join(w for i in range(k, 21_000, 3) for w in (words[i], f"x{i % 9}y")), 1) for k in range(3)]
-    docs = spark.createDataFrame([x[:2] for x in data], "doc_id long, text string")
-    model = toxicity.train(docs, spark.createDataFrame([x[::2] for x in data], "doc_id long, label int"), Scratch(spark, "t"))
-    assert set(words[10:-10]) <= model.units.keys()
-    of = model.known.units
-    assert of["q77z"] * model.width + of["q76z"] in model.keys and len(model.pairs) > 40_000
+    assert sum((g >= 0.5) == bool(y) for g, (_, _, y) in zip(got, fresh)) >= 190
+    assert model.word("vileness") > 1 > model.word("kindness")  # by its stem
+    assert model.ratios(["red", "lamp"])[1] > model.word("lamp") + 0.3 and model.ratios(["red", "door"])[1] < model.ratios(["cold", "door"])[1]
 
 
 def test_edges(spark):
