@@ -1,17 +1,22 @@
 """Stratified samples that are the same on every run.
 
-Rows of a stratum are ordered by a keyed hash of all their columns, and the first k are taken: a
-simple random sample without replacement that any engine can repeat. Three passes find them. The
-first counts strata (partial aggregation). The others keep the rows whose hash lies below the
-stratum's k-th expected value plus six standard deviations, so that only about as many rows as
-the sample has are shuffled and ranked, however large a stratum is. Equal rows share a hash, so a
-stratum of many copies may fall short. What passes is therefore counted, and a stratum with too
-few rows is ranked without the bound, which reads the table once more. Ranks are taken in
-SALTS parts first and then among what the parts keep, so that no task gets a whole large stratum.
+Rows of a stratum are ordered by a keyed hash of all their columns and of their number among equal
+rows, and the first k are taken: a simple random sample without replacement that any engine can
+repeat. Strata are counted first (partial aggregation). Then rows are kept whose hash lies below
+the stratum's k-th expected value plus six standard deviations, so that only about as many rows
+as the sample has are shuffled, however large a stratum is. The number among equal rows is taken
+where it matters: in strata of which copies pass (copies share the hash of their columns, so they
+pass together), or of which too few rows pass. There copies are counted by partial aggregation,
+and each is given a hash of its own; a hot row's copies are numbered in ranges, apart.
+
+The k-th row is found from counts of PLACES ranges of hashes; ranges below it are taken whole, and
+only the range that holds it is ranked, about k / PLACES rows of a stratum in one task.
 
 A sample table has the columns of its base and five more: `quern_stratum` (the stratum's key as
-text), `quern_taken` and `quern_total` (rows taken and rows there), `quern_row` (the row's hash
-and rank, which tells rows apart), and `quern_batch` (one insert each). Strata of different batches count apart. A null stratum value is a stratum.
+text), `quern_taken` and `quern_total` (rows taken and rows there), `quern_row` (the row's hash,
+which tells rows apart), and `quern_batch` (one insert each). Strata of different batches count
+apart. A null stratum value is a stratum. Rows whose columns are arrays, maps or structs are told
+apart by their JSON.
 """
 
 from __future__ import annotations
@@ -96,10 +101,16 @@ def split_list(text: str) -> list[str]:
 
 
 def canonical(name: str, kind: T.DataType) -> Column:
-    """A column as text that engines agree on: cents for fractions, microseconds for times."""
+    """A column as text that engines agree on: cents for fractions of whole cents, a hash of the
+    bits for others (NaN and infinity too), microseconds for times."""
     c = F.col(f"`{name}`")
-    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
-        c = F.round(c * 100).cast("bigint")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        x = c.cast("double")
+        cents = F.round(x * 100)
+        c = F.when((F.abs(x) < 1e13) & (cents / 100 == x), cents.try_cast("bigint").cast("string")).when(c.isNotNull(), F.concat(F.lit("x"), F.xxhash64(x)))
+    elif isinstance(kind, T.DecimalType):
+        cents = (c * 100).cast(T.DecimalType(38, 0)) if kind.scale <= 2 and kind.precision <= 34 else None
+        c = cents.cast("string") if cents is not None else c.cast("string")
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         c = F.unix_micros(c.cast("timestamp"))
     elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
@@ -108,10 +119,15 @@ def canonical(name: str, kind: T.DataType) -> Column:
 
 
 def row_hash(df: DataFrame, seed: str = "quern") -> Column:
-    """32 hex digits: the order of rows within their stratum."""
+    """32 hex digits: the order of rows within their stratum, for the first of equal rows."""
     return F.md5(F.concat_ws("|", F.lit(seed), *[canonical(f.name, f.dataType) for f in df.schema.fields]).cast("binary"))
 
 
+def copy_hash(hash_: Column, number: Column) -> Column:
+    """The hash of the number-th of equal rows."""
+    return F.when(number == 1, hash_).otherwise(F.md5(F.concat_ws("|", hash_, number.cast("string")).cast("binary")))
+
+
 def uniform(hash_: Column) -> Column:
     """A number in [0, 1) from the leading 52 bits of a hex digest."""
     return F.conv(F.substring(hash_, 1, 13), 16, 10).cast("double") / float(1 << 52)
@@ -125,46 +141,69 @@ def stratum_key(qcs: tuple[str, ...], batch: int = 0) -> Column:
 FEW_STRATA = 100_000
 
 
-#: Parts of a stratum that are ranked apart first.
-SALTS = 16
+#: Ranges of hashes that are counted to find a stratum's last row, and copies that are numbered together.
+PLACES, RANGE = 1024, 1 << 20
+
+
+def _bound() -> Column:
+    """Hashes up to it hold the k least of a stratum, with six standard deviations to spare."""
+    return F.least((F.col("quern_k") + 6 * F.sqrt("quern_k") + 30) / F.col(TOTAL), F.lit(1.0))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Each copy of the rows (with __h) with a hash of its own, where it is within the bound."""
+    others = [c for c in rows.columns if c not in ("__h", "__n")]
+    once = rows.groupBy(STRATUM, "__h").agg(F.count("*").alias("__n"), F.first(F.struct(*[F.col(f"`{c}`") for c in others if c != STRATUM])).alias("__row"))
+    spans = once.withColumn("__span", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("__n") - 1) / RANGE).cast("long"))))
+    spans = spans.repartition(F.col(STRATUM), F.col("__h"), F.col("__span"))
+    number = F.explode(F.sequence(F.col("__span") * RANGE + 1, F.least((F.col("__span") + 1) * RANGE, F.col("__n"))))
+    each = spans.withColumn("__i", number).withColumn("__h", copy_hash(F.col("__h"), F.col("__i")))
+    return each.select(STRATUM, "__h", "__row.*").filter(uniform(F.col("__h")) <= _bound()).select(*rows.columns)
 
 
-def _least(marked: DataFrame) -> DataFrame:
-    """The quern_k rows of least __h of each stratum, with their rank __r from 1 on."""
-    k = F.col("__r") <= F.col("quern_k")
-    salted = marked.withColumn("__salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
-    part = salted.withColumn("__r", F.row_number().over(Window.partitionBy(STRATUM, "__salt").orderBy("__h"))).filter(k).drop("__salt")
-    return part.withColumn("__r", F.row_number().over(Window.partitionBy(STRATUM).orderBy("__h"))).filter(k)
+def _least(passed: DataFrame, joined) -> DataFrame:
+    """The quern_k rows of least __h of each stratum."""
+    place = F.least(F.floor(uniform(F.col("__h")) / _bound() * PLACES), F.lit(PLACES - 1)).cast("int")
+    placed = passed.withColumn("__place", place)
+    counts = placed.groupBy(STRATUM, "quern_k", "__place").agg(F.count("*").alias("__n"))
+    upto = counts.withColumn("__upto", F.sum("__n").over(Window.partitionBy(STRATUM).orderBy("__place")))
+    last = upto.filter("__upto >= quern_k").groupBy(STRATUM).agg(F.min_by(F.struct(F.col("__place").alias("last"), (F.col("quern_k") - F.col("__upto") + F.col("__n")).alias("rest")), F.col("__place")).alias("__last"))
+    placed = placed.join(joined(last), STRATUM, "left")
+    ahead = placed.filter(F.col("__last").isNull() | (F.col("__place") < F.col("__last.last")))
+    edge = placed.filter(F.col("__place") == F.col("__last.last"))
+    edge = edge.withColumn("__r", F.row_number().over(Window.partitionBy(STRATUM).orderBy("__h"))).filter("__r <= __last.rest").drop("__r")
+    return ahead.unionByName(edge).drop("__place", "__last")
 
 
 def _bottom(df: DataFrame, counts: DataFrame, seed: str) -> DataFrame:
     """Of each stratum of counts (quern_stratum, quern_total, quern_k) the quern_k rows of least hash."""
     few = counts.count() <= FEW_STRATA
-    share = (F.col("quern_k") + 6 * F.sqrt("quern_k") + 30) / F.col(TOTAL)
-    marked = df.withColumn("__h", row_hash(df.drop(STRATUM), seed)).join(F.broadcast(counts) if few else counts, STRATUM)
-    passed = marked.filter(uniform(F.col("__h")) <= share)
-    got = passed.groupBy(STRATUM).agg(F.count("*").alias("__n"))
-    lacking = F.coalesce("__n", F.lit(0)) < F.least("quern_k", TOTAL)
-    short = settle(counts.join(got, STRATUM, "left").filter(lacking).select(STRATUM))
-    n = short.count()
-    if n:
-        short = F.broadcast(short) if n <= FEW_STRATA else short
-        passed = passed.join(short, STRATUM, "left_anti").unionByName(marked.join(short, STRATUM, "left_semi"))
-    ranked = _least(passed)
-    ranked = ranked.withColumn(TAKEN, F.count("*").over(Window.partitionBy(STRATUM))).withColumn(ROW, F.concat_ws("-", "__h", "__r"))
-    return ranked.drop("__h", "__r", "quern_k")
+    joined = F.broadcast if few else (lambda t: t)
+    marked = df.withColumn("__h", row_hash(df.drop(STRATUM), seed)).join(joined(counts), STRATUM)
+    passed = settle(marked.filter(uniform(F.col("__h")) <= _bound()))
+    met = passed.groupBy(STRATUM, "__h").agg(F.count("*").alias("__n")).groupBy(STRATUM).agg(F.sum("__n").alias("__n"), F.max("__n").alias("__most"))
+    unsure = (F.col(TOTAL) > F.col("quern_k")) & ((F.coalesce("__n", F.lit(0)) < F.col("quern_k")) | (F.col("__most") > 1)) | (F.coalesce("__n", F.lit(0)) < F.least("quern_k", TOTAL))
+    again = settle(counts.join(met, STRATUM, "left").filter(unsure).select(STRATUM))
+    if not again.isEmpty():
+        passed = settle(passed.join(joined(again), STRATUM, "left_anti").unionByName(_numbered(marked.join(joined(again), STRATUM, "left_semi"))))
+    taken = _least(passed, joined)
+    return taken.withColumn(TAKEN, F.least("quern_k", TOTAL)).withColumn(ROW, F.col("__h")).drop("__h", "quern_k")
 
 
 def equal_allocation(counts: DataFrame, fraction: float, least: int) -> int:
-    """The k at which the strata's min(rows, k) add up to fraction of all rows, `least` or more."""
-    total = counts.agg(F.sum(TOTAL)).first()[0] or 0
-    goal = round(fraction * total)
-    low, high = least, max(least, goal)
-    while low < high:
-        middle = (low + high + 1) // 2
-        got = counts.agg(F.sum(F.least(F.col(TOTAL), F.lit(middle)))).first()[0]
-        low, high = (middle, high) if got <= goal else (low, middle - 1)
-    return low
+    """The k at which the strata's min(rows, k) add up to fraction of all rows, `least` or more.
+
+    Between two sizes of strata that follow each other the sum is linear in k, so one pass over
+    the distinct sizes finds it.
+    """
+    sizes = counts.groupBy(F.col(TOTAL).alias("t")).agg(F.count("*").alias("n"))
+    goal = round(fraction * (sizes.agg(F.sum(F.col("t") * F.col("n"))).first()[0] or 0))
+    order = Window.orderBy("t")
+    spans = sizes.unionByName(sizes.sparkSession.range(1).select(F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("n")))
+    spans = spans.select("t", F.sum(F.col("t") * F.col("n")).over(order).alias("below"), F.sum("n").over(order).alias("smaller"), F.lead("t").over(order).alias("next"), F.sum("n").over(Window.partitionBy()).alias("strata"))
+    reach = F.floor((F.lit(goal) - F.col("below")) / (F.col("strata") - F.col("smaller")))
+    k = spans.filter("next IS NOT NULL").select(F.least(reach, F.col("next")).alias("k"), "t").filter("k >= t").agg(F.max("k")).first()[0]
+    return max(least, int(k or 0))
 
 
 def error_limited_size(total: Column, mean: Column, deviation: Column, percent: float) -> Column:

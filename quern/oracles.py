@@ -84,6 +84,11 @@ SELECT l_returnflag, count(*) AS n_rows, round(sum(total / k), 4) AS weight, CAS
 ORACLES["sample_time_slot"] = f"WITH {sample('s', 'event_type, CAST(ts AS DATE)', '5', 'events', EVENT)} SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n_rows, max(total) AS total, CAST(sum(event_id) AS BIGINT) AS key_sum FROM s GROUP BY 1, 2"
 ORACLES["sample_qcs_expression"] = strata(sample("s", "year(l_shipdate), l_linestatus", "15"), "s", "CAST(year(l_shipdate) AS INTEGER) AS y", "l_linestatus")
 ORACLES["sample_dataframe"] = strata(sample("s", "l_linestatus", "40"), "s", "l_linestatus")
+NARROW = "md5('quern|' || l_returnflag || '|' || l_linenumber)"
+ORACLES["sample_copies"] = f"""WITH r AS (SELECT l_returnflag, l_linenumber, {NARROW} AS h, row_number() OVER (PARTITION BY l_returnflag, l_linenumber) AS i FROM lineitem),
+u AS (SELECT *, CASE WHEN i = 1 THEN h ELSE md5(h || '|' || i) END AS u FROM r),
+s AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY u) AS rn, count(*) OVER (PARTITION BY l_returnflag) AS total FROM u)
+SELECT l_returnflag, l_linenumber, count(*) AS n_rows, max(total) AS total FROM s WHERE rn <= 50 GROUP BY 1, 2"""
 ORACLES["register_sample"] = "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1"
 ORACLES["sample_lookup"] = "SELECT * FROM (VALUES ('flag', 'l_returnflag', 50::BIGINT), ('supp', 'l_suppkey', 20::BIGINT)) v(name, qcs, reservoir)"
 ORACLES["error_stats_by_group"] = f"WITH {SUPP} SELECT l_suppkey, count(*) AS n, round(avg(l_quantity), 4) AS mean, round(var_samp(l_quantity), 4) AS variance FROM supp GROUP BY 1"
@@ -132,12 +137,12 @@ for kind in ("sum", "count", "avg"):
     ORACLES[f"agg_{kind}_closedform"] = pick(closed(SUPP, KEPT, ["l_returnflag"], {"v": (kind, "l_quantity")}), shown(["v"], "l_returnflag"))
     e = {"sum": "sum(mult * w * l_quantity)", "count": "sum(mult * w)", "avg": "sum(mult * w * l_quantity) / nullif(sum(mult * w), 0)"}[kind]
     ORACLES[f"agg_{kind}_bootstrap"] = f"""WITH {SUPP},
-m AS (SELECT *, {W} AS w, {LADDER} AS mult FROM (SELECT *, CAST('0x' || substr(md5(h || '-' || rn || '|' || j), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM {KEPT.split(' WHERE ')[0]}, range({TRIALS}) t(j) WHERE l_linenumber > 2)),
+m AS (SELECT *, {W} AS w, {LADDER} AS mult FROM (SELECT *, CAST('0x' || substr(md5(h || '|' || j), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM {KEPT.split(' WHERE ')[0]}, range({TRIALS}) t(j) WHERE l_linenumber > 2)),
 e AS (SELECT l_returnflag, j, CASE WHEN sum(mult) > 0 THEN {e} END AS e FROM m GROUP BY 1, 2),
 a AS (SELECT l_returnflag, max(e) FILTER (j = 0) AS v, list_sort(list(e) FILTER (e IS NOT NULL)) AS x FROM e GROUP BY 1),
 b AS (SELECT *, x[CAST(floor(len(x) * {(1 - 0.9) / 2!r}::DOUBLE) AS BIGINT) + 1] AS lo, x[CAST(ceil(len(x) * {(1 + 0.9) / 2!r}::DOUBLE) AS BIGINT)] AS hi FROM a)
 SELECT l_returnflag, round(v, 4) AS v, round((hi - lo) / 2, 4) AS v_absolute_error, round(abs((hi - lo) / (2 * CASE WHEN abs(v) > 1 THEN v WHEN v >= 0 THEN v + 1 ELSE v - 1 END)), 4) AS v_relative_error, round(lo, 4) AS v_lower_bound, round(hi, 4) AS v_upper_bound FROM b"""
-ORACLES["agg_bootstrap_multiplicity"] = f"""WITH {FLAG}, m AS (SELECT l_linestatus, j, {LADDER} AS mult FROM (SELECT *, CAST('0x' || substr(md5(h || '-' || rn || '|' || j), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM flag, range({TRIALS}) t(j)))
+ORACLES["agg_bootstrap_multiplicity"] = f"""WITH {FLAG}, m AS (SELECT l_linestatus, j, {LADDER} AS mult FROM (SELECT *, CAST('0x' || substr(md5(h || '|' || j), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM flag, range({TRIALS}) t(j)))
 SELECT l_linestatus, CAST(j AS INTEGER) AS trial, CAST(sum(mult) AS BIGINT) AS rows, sum(mult) > 0 AS there FROM m GROUP BY 1, 2"""
 ORACLES["agg_min_max_qcs"] = f"WITH {SUPP} SELECT min(l_suppkey) AS a, max(l_suppkey) AS b, round(sum(l_quantity * {W}), 4) AS s FROM supp"
 ORACLES["agg_only_min_max"] = "SELECT min(l_suppkey) AS a, max(l_suppkey) AS b FROM lineitem"

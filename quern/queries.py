@@ -96,6 +96,13 @@ def sample_dataframe(spark, sf_dir):
     return strata(made, "l_linestatus")
 
 
+@query
+def sample_copies(spark, sf_dir):
+    """A table of a few distinct rows with many copies each."""
+    made = stratified_sample(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber"), FLAG)
+    return made.groupBy("l_returnflag", "l_linenumber").agg(F.count("*").alias("n_rows"), F.max(TOTAL).alias("total"))
+
+
 @query
 def register_sample(spark, sf_dir):
     e = engine(spark, sf_dir)

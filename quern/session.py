@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import errors
 from .operators import contract, estimators
+from .operators._tables import shared_folder
 from .operators.estimators import Agg
 from .operators.sampling import CARRIED, HIDDEN, ROW, STRATUM, SampleOptions, stratified_sample
 from .plans import clause as clauses
@@ -52,11 +52,14 @@ EXACT = PlanInfo(None, None, None, selection.EXACT, 0, None)
 
 
 class AqpSession:
-    """conf keys: error, confidence, behavior, closed_form, trials, count_as_minus_one."""
+    """conf keys: error, confidence, behavior, closed_form, trials, count_as_minus_one.
+
+    root: a folder that outlives the session; tables made there are there again for the next one.
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None, **conf):
         self.spark = spark
-        self.registry = Registry(spark, root or (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-")) + f"/quern-tables-{uuid.uuid4().hex}")
+        self.registry = Registry(spark, kept=bool(root), root=root or f"{shared_folder(spark)}/quern-tables-{uuid.uuid4().hex}")
         self.conf = {"closed_form": True, "trials": 100, "count_as_minus_one": False} | conf
         self.views: dict[str, str] = {}
         self.last_plan_info = EXACT
@@ -71,6 +74,9 @@ class AqpSession:
         if m := re.match(r"\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?view\s+`?(\w+)`?\s+as\s+(.*)$", statement, re.I | re.S):
             return self.create_view(m[1], m[2])
         if m := re.match(r"\s*insert\s+into\s+(?:table\s+)?`?(\w+)`?\s+(.*)$", statement, re.I | re.S):
+            known = m[1].lower() in self.registry.samples or m[1].lower() in self.registry.topks or self.registry.depends(m[1])
+            if not known and not self.spark.catalog.getTable(m[1]).isTemporary:
+                return self.spark.sql(statement)
             return self.insert_into(m[1], self.spark.sql(m[2] if not re.match(r"values", m[2], re.I) else f"SELECT * FROM {m[2]}"))
         query, clause = clauses.strip(statement)
         return self.query(query, clauses.resolve(clause, self.conf))

@@ -1,12 +1,14 @@
 """The catalog of sample tables and top-K tables, kept beside Spark's own.
 
-Data are Parquet folders, one for each insert of a sample, below the registry's root; the registry itself is plain
-values that `dump` and `load` turn into JSON and back.
+Data are Parquet folders, one for each insert, below the registry's root; the registry itself is
+plain values that `dump` and `load` turn into JSON and back. A registry that is kept writes them
+below its root after each change, and takes them up again when it is opened there.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,17 +39,34 @@ class TopKTable:
     done: list[int] = field(default_factory=list)
 
 
+#: Batches of streams are numbered from here on.
+STREAMED = 1_000_000_000
 #: Appended parts of a top-K table before they are added up into one.
 PARTS = 50
 
 
 class Registry:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, kept: bool = False):
+        self.spark, self.root, self.kept = spark, root.rstrip("/"), kept
         self.samples: dict[str, SampleTable] = {}
         self.topks: dict[str, TopKTable] = {}
         self.replicated: set[str] = set()
-        self.appended = 0
+        self.appended = uuid.uuid4().hex[:8]
+        if kept:
+            self._open()
+
+    def _open(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/registry")
+        if path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+            versions = self.spark.read.json(path.toString(), schema="version long, text string")
+            self.version, text = versions.orderBy(F.desc("version")).select("version", "text").first()
+            self.load(text)
+
+    def _save(self) -> None:
+        """Each version is a file of its own, so that none is lost half-written."""
+        if self.kept:
+            self.version = getattr(self, "version", 0) + 1
+            self.spark.createDataFrame([(self.version, self.dump())], "version long, text string").coalesce(1).write.mode("append").json(f"{self.root}/registry")
 
     # Samples
 
@@ -66,18 +85,26 @@ class Registry:
             rows = self.spark.table(base)
         if rows is not None:
             self.insert_sample(name, rows)
+        else:
+            self._save()
         return made
 
-    def insert_sample(self, name: str, rows: DataFrame, overwrite: bool = False) -> None:
-        """Sample rows as a batch of strata of its own; with the bypass option rows enter as they are."""
+    def insert_sample(self, name: str, rows: DataFrame, overwrite: bool = False, batch_id: int | None = None) -> None:
+        """Sample rows as a batch of strata of its own; with the bypass option rows enter as they are.
+
+        batch_id: of a stream. Its folder is written over, so a batch that comes again counts once.
+        """
         table = self.sample(name)
         if overwrite:
             self.truncate_sample(name)
-        path = f"{self.root}/{table.name.lower()}/batch={table.next_batch}"
-        made = stratified_sample(rows, table.options, table.next_batch)
+        batch = table.next_batch if batch_id is None else STREAMED + batch_id
+        path = f"{self.root}/{table.name.lower()}/batch={batch}"
+        made = stratified_sample(rows, table.options, batch)
         made.write.mode("overwrite").parquet(path)
-        table.paths.append(path)
-        table.next_batch += 1
+        if path not in table.paths:
+            table.paths.append(path)
+        table.next_batch += batch_id is None
+        self._save()
 
     def read_sample(self, name: str) -> DataFrame:
         table = self.sample(name)
@@ -88,10 +115,12 @@ class Registry:
 
     def truncate_sample(self, name: str) -> None:
         self.sample(name).paths.clear()
+        self._save()
 
     def drop_sample(self, name: str, missing_ok: bool = False) -> None:
         if self.samples.pop(name.lower(), None) is None and not missing_ok:
             raise ValueError(f"no sample table {name}")
+        self._save()
 
     def sample(self, name: str) -> SampleTable:
         if name.lower() not in self.samples:
@@ -101,17 +130,23 @@ class Registry:
     def samples_of(self, base: str) -> list[SampleTable]:
         return [s for s in self.samples.values() if s.base == base.lower()]
 
+    def depends(self, base: str) -> bool:
+        return bool(self.samples_of(base)) or any(t.base == base.lower() for t in self.topks.values())
+
     def insert_base(self, base: str, rows: DataFrame) -> None:
         """Append rows to a base table and to everything that depends on it.
 
-        New rows are written once; the table becomes the union of its parts.
+        New rows are written once. A table of the catalog takes them in; a temporary view becomes
+        the union of its parts.
         """
         whole = self.spark.table(base)
-        self.appended += 1
-        path = f"{self.root}/{base.lower()}/append={self.appended}"
-        rows.select(*whole.columns).write.mode("overwrite").parquet(path)
-        rows = self.spark.read.parquet(path)
-        whole.unionByName(rows).createOrReplaceTempView(base)
+        path = f"{self.root}/{base.lower()}/append-{self.appended}-{uuid.uuid4().hex}"
+        rows.toDF(*whole.columns).write.parquet(path)
+        rows = self.spark.read.schema(whole.schema).parquet(path)
+        if self.spark.catalog.getTable(base).isTemporary:
+            whole.unionByName(rows).createOrReplaceTempView(base)
+        else:
+            rows.write.insertInto(base)
         for s in self.samples_of(base):
             self.insert_sample(s.name, rows)
         for t in [t for t in self.topks.values() if t.base == base.lower()]:
@@ -130,6 +165,7 @@ class Registry:
         made.epoch_ms = made.options.epoch_ms
         if base:
             self.insert_topk(name, self.spark.table(base))
+        self._save()
         return made
 
     def topk(self, name: str) -> TopKTable:
@@ -138,7 +174,8 @@ class Registry:
         return self.topks[name.lower()]
 
     def insert_topk(self, name: str, rows: DataFrame, batch_id: int | None = None) -> None:
-        """Add rows' counts. A batch that was added before is not added again.
+        """Add rows' counts. batch_id: of a stream; a batch that comes again counts once, as its
+        folder is written over, or is not added if it was merged with others.
 
         The epoch is the option's, else the least time of the first rows.
         """
@@ -151,26 +188,28 @@ class Registry:
                 return
             table.epoch_ms = first
         now = F.timestamp_millis(F.lit(table.epoch_ms)) if not o.time_column else None
-        self._append(table, topk.slots(rows, o, table.epoch_ms, now))
-        if batch_id is not None:
-            table.done.append(batch_id)
+        if batch_id is None:
+            table.version += 1
+        self._append(table, topk.slots(rows, o, table.epoch_ms, now), f"part={table.version}" if batch_id is None else f"stream={batch_id}")
         if len(table.paths) > PARTS:
-            whole = self.read_topk(name)
-            table.paths = []
-            self._append(table, whole)
+            old, table.paths = table.paths[:-1], table.paths[-1:]
+            table.version += 1
+            self._append(table, topk.merged(self.spark.read.parquet(*old)), f"part={table.version}")
+            table.done = [*table.done, *[int(p.rpartition("=")[2]) for p in old if "/stream=" in p]][-PARTS:]
+        self._save()
 
-    def _append(self, table: TopKTable, counts: DataFrame) -> None:
+    def _append(self, table: TopKTable, counts: DataFrame, part: str) -> None:
         """Counts only add up, so an insert writes its own and reads nothing."""
-        table.version += 1
-        path = f"{self.root}/{table.name.lower()}/part={table.version}"
+        path = f"{self.root}/{table.name.lower()}/{part}"
         counts.write.mode("overwrite").parquet(path)
-        table.paths.append(path)
+        if path not in table.paths:
+            table.paths.append(path)
 
     def read_topk(self, name: str) -> DataFrame:
         table = self.topk(name)
         if not table.paths:
             return self.spark.createDataFrame([], "slot bigint, key string, n bigint")
-        return topk.merged(self.spark.read.parquet(*table.paths))
+        return topk.merged(self.spark.read.parquet(*table.paths).select("slot", "key", "n"))
 
     def query_topk(self, name: str, k: int | None = None, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
         """key, estimated_value and error_bounds of the k largest keys between two times."""
@@ -188,10 +227,12 @@ class Registry:
     def truncate_topk(self, name: str) -> None:
         table = self.topk(name)
         table.paths, table.done, table.epoch_ms = [], [], table.options.epoch_ms
+        self._save()
 
     def drop_topk(self, name: str, missing_ok: bool = False) -> None:
         if self.topks.pop(name.lower(), None) is None and not missing_ok:
             raise ValueError(f"no top-K table {name}")
+        self._save()
 
     # The registry itself
 

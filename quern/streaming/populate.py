@@ -1,8 +1,9 @@
 """Structured Streaming into samples and top-K tables.
 
 Every micro-batch is inserted in each dependent table. Updates add, so late rows reach the slot
-of their own time without a watermark; a top-K table remembers which batches it has, so that a
-batch that Spark replays counts once. A table that fails is logged and does not stop the others.
+of their own time without a watermark. A batch is written to a folder of its own number, over
+what is there, so that a batch that Spark replays counts once, also after a restart. A table that
+fails does not stop the others, but fails the batch, which Spark then tries again.
 """
 
 from __future__ import annotations
@@ -20,30 +21,30 @@ log = logging.getLogger(__name__)
 
 
 def collect_samples(session: AqpSession, rows: DataFrame, tables: list[str], batch_id: int | None = None) -> None:
-    """Insert rows in each of the tables."""
+    """Insert rows in each of the tables; raises at the end if one failed."""
+    failed = None
     for name in tables:
         try:
             if name.lower() in session.registry.topks:
                 session.registry.insert_topk(name, rows, batch_id)
             else:
-                session.registry.insert_sample(name, rows)
-        except Exception:
+                session.registry.insert_sample(name, rows, batch_id=batch_id)
+        except Exception as e:
             log.exception("batch %s did not reach %s", batch_id, name)
+            failed = e
+    if failed is not None:
+        raise failed
 
 
 def save_stream(session: AqpSession, stream: DataFrame, tables: list[str], checkpoint: str, formatter: Callable[[DataFrame], DataFrame] | None = None, once: bool = False) -> StreamingQuery:
     """Start feeding tables from a stream; formatter maps each micro-batch first."""
-    seen: set[int] = set()
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        if batch_id in seen:
-            return
         batch.persist()
         try:
             collect_samples(session, formatter(batch) if formatter else batch, tables, batch_id)
         finally:
             batch.unpersist()
-        seen.add(batch_id)
 
     writer = stream.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import quantiles
 from quern.operators import contract, estimators
 from quern.operators.estimators import Agg
-from quern.operators.sampling import SampleOptions, stratified_sample
+from quern.operators.sampling import SampleOptions, equal_allocation, stratified_sample
 
 SCHEMA = "quern_stratum string, quern_taken long, quern_total long, quern_row string, g string, v double"
 
@@ -110,19 +111,36 @@ def test_types_are_those_of_exact_aggregates(spark):
     assert estimators.exact_type("max", df.schema["t"].dataType) == df.schema["t"].dataType
 
 
-def test_large_strata_are_filtered_before_the_shuffle(spark, sf_dir):
-    plan = stratified_sample(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), SampleOptions(("l_returnflag",), reservoir=5))._jdf.queryExecution().executedPlan().toString()
-    join, shuffle = plan.index("BroadcastHashJoin"), plan.index("Exchange hashpartitioning(quern_stratum")
-    assert shuffle < join and "WindowGroupLimit" not in plan[join:]
+def test_only_rows_near_the_sample_are_shuffled(spark, sf_dir):
+    made = stratified_sample(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), SampleOptions(("l_returnflag",), reservoir=5))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan and made.count() == 15
+    assert spark.read.parquet(*{f.rpartition("/")[0] for f in made.inputFiles()}).count() < 400
 
 
 def test_strata_of_copies_are_filled(spark):
-    """Copies share a hash, which the bound on hashes must not take for many."""
-    rows = spark.range(10_000).selectExpr("cast(id % 3 as string) AS g", "if(id % 3 = 0, 7L, if(id % 3 = 1, id % 4, id)) AS v")
-    got = stratified_sample(rows, SampleOptions(("g",), reservoir=50)).collect()
-    for g, total in (("0", 3334), ("1", 3333), ("2", 3333)):
-        mine = [r for r in got if r.g == g]
-        assert len(mine) == 50 and {(r.quern_taken, r.quern_total) for r in mine} == {(50, total)}
-        every = sorted(hashlib.md5(f"quern|{g}|{r.v}".encode()).hexdigest() for r in rows.filter(F.col("g") == g).collect())
-        assert sorted(r.quern_row.split("-")[0] for r in mine) == every[:50]
-        assert len({r.quern_row for r in mine}) == 50
+    """A few distinct rows with thousands of copies: every stratum is full, and each row is drawn as often as chance has it."""
+    rows = spark.range(60_000).selectExpr("id % 20 AS g", "(id DIV 20) % 3 AS x")
+    made = stratified_sample(rows, SampleOptions(("g",), fraction=0.03))
+    got = made.groupBy("g", "x").count().collect()
+    assert len(got) == 60 and {r.quern_taken for r in made.collect()} == {90}
+    assert all(10 <= r["count"] <= 55 for r in got)
+    assert made.select("quern_row").distinct().count() == 1800
+    one = stratified_sample(rows.selectExpr("g", "'same' AS x"), SampleOptions(("g",), reservoir=50)).groupBy("g").count().collect()
+    assert {r["count"] for r in one} == {50} and len(one) == 20
+
+
+def test_any_numbers_are_sampled(spark):
+    rows = spark.sql("SELECT id % 4 AS g, CASE id % 5 WHEN 0 THEN double('nan') WHEN 1 THEN 1e30 * id WHEN 2 THEN id * 1e-7 WHEN 3 THEN double('-infinity') END AS x, CAST(id AS DECIMAL(20, 6)) / 1000 AS d FROM range(4000)")
+    got = stratified_sample(rows, SampleOptions(("g",), reservoir=100)).groupBy("g").count().collect()
+    assert {r["count"] for r in got} == {100} and len(got) == 4
+
+
+def test_equal_allocation_matches_brute_force(spark):
+    r = random.Random(3)
+    for case in range(4):
+        sizes = [r.randrange(1, 60) for _ in range(r.randrange(1, 40))]
+        counts = spark.createDataFrame([(n,) for n in sizes], "quern_total long")
+        for fraction in (0.0, 0.1, 0.5, 1.0):
+            fits = [k for k in range(max(sizes) + 1) if sum(min(n, k) for n in sizes) <= round(fraction * sum(sizes))]
+            assert equal_allocation(counts, fraction, 2) == max(2, max(fits))

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quern.operators import contract, sketches, topk
@@ -130,14 +131,44 @@ def test_same_key_adds_up_and_old_rows_are_dropped(spark):
     assert got == {(0, "a"): 15, (1, "b"): 7}
 
 
-def test_failing_table_does_not_stop_the_stream(spark, e, sf_dir, tmp_path):
+def test_failing_table_does_not_stop_the_others(spark, e, sf_dir, tmp_path):
     e.registry.create_topk("hot", {"key": "event_type", "timeSeriesColumn": "ts", "epoch": "0", "timeInterval": "1h"})
     e.registry.create_topk("broken", {"key": "no_such_column"})
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    populate.collect_samples(e, rows, ["broken", "hot"], 1)
-    populate.collect_samples(e, rows, ["broken", "hot"], 1)
+    for _ in range(2):
+        with pytest.raises(AnalysisException):
+            populate.collect_samples(e, rows, ["broken", "hot"], 1)
     assert e.registry.read_topk("hot").agg(F.sum("n")).first()[0] == 1000
     sampled = e.registry.create_sample("ev", {"qcs": "event_type", "strataReservoirSize": "5"})
     stream = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/events.parquet*")
     populate.save_stream(e, stream, [sampled.name], str(tmp_path / "c"), once=True).awaitTermination()
     assert e.registry.read_sample("ev").count() == 25
+
+
+def test_streams_count_a_replayed_batch_once_and_do_not_swallow_errors(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id % 3 AS k", "timestamp_millis(id * 1000) AS ts")
+    e = AqpSession(spark, str(tmp_path / "kept"))
+    e.registry.create_topk("hot", {"key": "k", "timeSeriesColumn": "ts", "timeInterval": "10s", "epoch": "0"})
+    e.registry.create_sample("some", {"qcs": "k", "strataReservoirSize": "5"}, rows=rows.limit(0))
+    for _ in range(2):
+        populate.collect_samples(e, rows, ["hot", "some"], 7)
+    again = AqpSession(spark, str(tmp_path / "kept"))  # after a restart
+    populate.collect_samples(again, rows, ["hot", "some"], 7)
+    assert sum(r.estimated_value for r in again.query_approx_topk("hot").collect()) == 100
+    assert again.registry.read_sample("some").count() == 15
+    with pytest.raises(ValueError):
+        populate.collect_samples(e, rows, ["none", "hot"], 8)
+    assert sum(r.estimated_value for r in e.query_approx_topk("hot").collect()) == 200
+
+
+def test_inserts_reach_tables_of_the_catalog(spark, tmp_path):
+    spark.sql(f"CREATE TABLE quern_pt (x INT) USING parquet LOCATION '{tmp_path}/pt'")
+    try:
+        e = AqpSession(spark)
+        e.sql("INSERT INTO quern_pt SELECT 1")
+        e.registry.create_sample("pt_sample", {"qcs": "x"}, "quern_pt")
+        e.sql("INSERT INTO quern_pt VALUES (2)")
+        assert spark.newSession().table("quern_pt").count() == 2
+        assert e.registry.read_sample("pt_sample").count() == 2
+    finally:
+        spark.sql("DROP TABLE quern_pt")
