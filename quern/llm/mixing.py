@@ -11,16 +11,22 @@ gets as many whole passes as its quota holds; the rest is the longest prefix of
 that fits. Which block, sub-block and document end the prefix follows from running sums over
 block totals, so no task sorts a source, however large.
 
+`mixture` then lays out all uses of all sources as one permutation: every use of a document has a
+keyed hash of its own, whose leading bytes name one of 65,536 blocks; blocks stay whole and their
+rows are in order, so sources are mixed at every place and a document's uses stand apart.
+
 A null source is a source of its own. Null and empty texts have no tokens; a source without any
-gets weight zero and no copies. Rows of one source and id stand or fall together. A null id sorts
-first. An empty table gives an empty result. `mixture` keeps the columns of its input.
+gets weight zero and no copies. Ids may be of any type that has a text; a null id counts as the
+empty text. Rows of one source and id stand or fall together. An empty table gives an empty
+result. The input's columns are carried in a struct, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import Scratch, documents, n_words, salted_join
@@ -42,28 +48,37 @@ class Target:
     seed: str = "mix"
 
 
+def _key(seed: str, doc_id: Column, use: Column | None = None) -> Column:
+    """32 hex digits: an id's place in its source's order, or that of one of its uses in the mixture's."""
+    parts = [F.lit(seed), *([use.cast("string")] if use is not None else []), F.coalesce(doc_id.cast("string"), F.lit(""))]
+    return F.md5(F.concat_ws("|", *parts).cast("binary"))
+
+
 def _keyed(rows: DataFrame, source: str, text: str, doc_id: str, seed: str) -> DataFrame:
-    """rows with __source, __id, __h (32 bits of a keyed hash of the id) and __n (tokens)."""
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("long")
-    return rows.select(
-        "*", F.col(source).alias("__source"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("__id"), h.alias("__h"), n_words(F.col(text)).alias("__n")
-    )
+    """__row (the columns of rows), __source, __id, __key (the order), __h (its first 32 bits) and __n (tokens)."""
+    made = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"), F.col(source).alias("__source"), F.col(doc_id).alias("__id"), n_words(F.col(text)).alias("__n"))
+    made = made.withColumn("__key", _key(seed, F.col("__id")))
+    return made.withColumn("__h", F.conv(F.substring("__key", 1, 8), 16, 10).cast("long"))
 
 
 def exponent(totals: DataFrame, target: Target) -> float:
-    """The bisected exponent for totals (source, tokens). Brings a few numbers to the driver."""
+    """The bisected exponent for totals (source, tokens): on the driver for FEW_SOURCES sources or
+    fewer, else by a Spark aggregate for each halving."""
     rows = totals.filter("tokens > 0")
     n, total = rows.agg(F.count("*"), F.sum("tokens")).first()
     if not n or n == 1:
         return 1.0
-    import math
-
     share = F.col("tokens") / F.lit(float(total))
+    shares = sorted(r[0] for r in rows.select(share).collect()) if n <= FEW_SOURCES else None
 
     def at(t: float) -> tuple[float, float]:
         """Entropy over its largest value, and the largest repetition."""
-        w = F.pow(share, F.lit(t))
-        z, zl, most = rows.agg(F.sum(w), F.sum(w * F.log(w)), F.max(w / share)).first()
+        if shares is not None:
+            ws = [x**t for x in shares]
+            z, zl, most = sum(ws), sum(w * math.log(w) for w in ws), max(w / x for w, x in zip(ws, shares))
+        else:
+            w = F.pow(share, F.lit(t))
+            z, zl, most = rows.agg(F.sum(w), F.sum(w * F.log(w)), F.max(w / share)).first()
         return (math.log(z) - zl / z) / math.log(n), most / z * target.epochs
 
     def bisect(low: float, high: float, keeps) -> tuple[float, float]:
@@ -83,10 +98,10 @@ def exponent(totals: DataFrame, target: Target) -> float:
 
 
 def plan(docs: DataFrame, scratch: Scratch, target: Target = Target(), source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per source: __of, passes, and cut_h, cut_id of the last document of the prefix."""
-    rows = scratch.write(_keyed(docs, source, text, doc_id, target.seed).select("__source", "__id", "__h", "__n"))
+    """One row per source: __of, passes, and cut, the key of the last document of the prefix."""
+    rows = scratch.write(_keyed(docs, source, text, doc_id, target.seed).select("__source", "__key", "__h", "__n"))
     blocks = scratch.write(rows.groupBy("__source", (F.col("__h") / BLOCK).cast("int").alias("block")).agg(F.sum("__n").alias("tokens")))
-    totals = scratch.write(blocks.groupBy("__source").agg(F.sum("tokens").alias("tokens")).coalesce(1))
+    totals = scratch.write(blocks.groupBy("__source").agg(F.sum("tokens").alias("tokens")))
     t = exponent(totals, target)
     some = totals.filter("tokens > 0")
     total = some.agg(F.sum("tokens")).first()[0] or 1
@@ -106,19 +121,18 @@ def plan(docs: DataFrame, scratch: Scratch, target: Target = Target(), source: s
 
     one = scratch.write(last_block(_on_source(blocks, quotas.select("__source", "rest")), "block"))
     inside = _on_source(rows, one).filter((F.col("__h") / BLOCK).cast("int") == F.col("block"))
-    inside = scratch.write(inside.withColumn("sub", (F.col("__h") / SUB).cast("int")).select("__source", "__id", "__h", "__n", "sub"))
+    inside = scratch.write(inside.withColumn("sub", (F.col("__h") / SUB).cast("int")).select("__source", "__key", "__n", "sub"))
     subs = inside.groupBy("__source", "sub").agg(F.sum("__n").alias("tokens"))
     two = scratch.write(last_block(_on_source(subs, one.select("__source", "rest")), "sub"))
     tail = _on_source(inside.withColumnRenamed("sub", "at"), two).filter("at = sub")
-    ties = tail.groupBy("__source", "__h", "__id", "rest").agg(F.sum("__n").alias("n"))
-    ran = ties.withColumn("upto", F.sum("n").over(Window.partitionBy("__source").orderBy("__h", "__id"))).filter("upto <= rest")
-    within = ran.groupBy("__source").agg(F.max(F.struct("__h", "__id")).alias("cut"))
+    ties = tail.groupBy("__source", "__key", "rest").agg(F.sum("__n").alias("n"))
+    ran = ties.withColumn("upto", F.sum("n").over(Window.partitionBy("__source").orderBy("__key"))).filter("upto <= rest")
+    within = ran.groupBy("__source").agg(F.max("__key").alias("cut"))
     # Without a document of the last sub-block, the prefix ends where that sub-block begins.
-    edge = F.struct((F.col("sub").cast("long") * SUB - 1).alias("__h"), F.lit((1 << 63) - 1).alias("__id"))
+    edge = F.lower(F.lpad(F.hex("sub"), 4, "0"))
     cuts = _on_source(two, within, "left").select("__source", F.coalesce("cut", edge).alias("cut"))
     # A source without a last block has rest = 0 exactly when nothing is left to add.
-    found = _on_source(quotas, cuts, "left").select(F.col("__source").alias("__of"), "passes", F.col("cut.__h").alias("cut_h"), F.col("cut.__id").alias("cut_id"))
-    return scratch.write(found.coalesce(1))
+    return scratch.write(_on_source(quotas, cuts, "left").select(F.col("__source").alias("__of"), "passes", "cut"))
 
 
 def _on_source(rows: DataFrame, few: DataFrame, how: str = "inner") -> DataFrame:
@@ -126,7 +140,7 @@ def _on_source(rows: DataFrame, few: DataFrame, how: str = "inner") -> DataFrame
 
 
 def with_copies(docs: DataFrame, target: Target = Target(), source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with __source, __h, __n and __copies, the number of times the mixture uses the row."""
+    """__row (the columns of docs), __id, __key, __h, __n and __copies, the number of times the mixture uses the row."""
     scratch = Scratch(docs.sparkSession, "mixing")
     made = plan(docs, scratch, target, source, text, doc_id)
     rows = _keyed(docs, source, text, doc_id, target.seed)
@@ -134,16 +148,20 @@ def with_copies(docs: DataFrame, target: Target = Target(), source: str = "sourc
         joined = rows.join(F.broadcast(made), F.col("__source").eqNullSafe(F.col("__of")))
     else:
         joined = salted_join(rows, made.withColumnRenamed("__of", "__source"), ["__source"], "inner")
-    inside = F.coalesce((F.col("__h") < F.col("cut_h")) | ((F.col("__h") == F.col("cut_h")) & (F.col("__id") <= F.col("cut_id"))), F.lit(False))
-    return joined.withColumn("__copies", F.col("passes") + inside.cast("long")).drop("__of", "passes", "cut_h", "cut_id")
+    inside = F.coalesce(F.col("__key") <= F.col("cut"), F.lit(False))
+    return joined.select("__row", "__id", "__key", "__h", "__n", (F.col("passes") + inside.cast("long")).alias("__copies"))
 
 
 def mixture(docs: DataFrame, target: Target = Target(), source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs, each as often as the mixture uses it, with the columns of docs."""
+    """The rows of docs, each as often as the mixture uses it, with the columns of docs, in the
+    order of the mixture's block permutation."""
     rows = with_copies(docs, target, source, text, doc_id).filter("__copies > 0")
-    return rows.withColumn("__epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(c) for c in docs.columns])
+    uses = rows.select("__row", "__id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__use"))
+    uses = uses.withColumn("__place", _key(target.seed, F.col("__id"), F.col("__use"))).withColumn("__block", F.substring("__place", 1, 4))
+    return uses.repartition("__block").sortWithinPartitions("__block", "__place").select("__row.*")
 
 
 def op5_mixing(spark, sf_dir):
     rows = with_copies(documents(spark, sf_dir))
-    return rows.select("doc_id", "source", F.col("__n").alias("n_tokens"), (F.col("__h") / BLOCK).cast("int").alias("block"), F.col("__copies").alias("copies"))
+    place = _key(Target().seed, F.col("__id"), F.lit(1))
+    return rows.select("__row.doc_id", "__row.source", F.col("__n").alias("n_tokens"), (F.col("__h") / BLOCK).cast("int").alias("block"), F.col("__copies").alias("copies"), F.when(F.col("__copies") > 0, F.substring(place, 1, 4)).alias("first_use_block"))

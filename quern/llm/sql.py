@@ -17,7 +17,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 ORACLES["op5_mixing"] = """
 WITH RECURSIVE w AS MATERIALIZED (
   SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens,
-    CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+    md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
   FROM documents),
 t AS MATERIALIZED (SELECT source, sum(n_tokens) AS tokens FROM w GROUP BY source),
 p AS MATERIALIZED (SELECT tokens, tokens / sum(tokens) OVER () AS share, count(*) OVER () AS k FROM t WHERE tokens > 0),
@@ -33,9 +33,10 @@ e AS (SELECT if((SELECT even FROM whole), 1.0, max(low)) AS t FROM bisect),
 z AS (SELECT sum(pow(share, t)) AS z, sum(tokens) AS total FROM p, e),
 q AS (SELECT source, tokens, CAST(floor(round(if(tokens > 0, pow(tokens / total, t) / z, 0) * total, 3)) AS BIGINT) AS quota FROM t, e, z),
 r AS (SELECT source, if(tokens > 0, quota // tokens, 0) AS passes, quota - tokens * if(tokens > 0, quota // tokens, 0) AS rest FROM q),
-ran AS (SELECT w.*, sum(n_tokens) OVER (PARTITION BY source ORDER BY h, doc_id) AS upto FROM w)
-SELECT doc_id, ran.source, n_tokens, CAST(h // 16777216 AS INTEGER) AS block,
-  CAST(passes + CAST(upto <= rest AND tokens > 0 AS BIGINT) AS BIGINT) AS copies
+ran AS (SELECT w.*, sum(n_tokens) OVER (PARTITION BY source ORDER BY key) AS upto FROM w)
+SELECT doc_id, ran.source, n_tokens, CAST('0x' || substr(key, 1, 2) AS INTEGER) AS block,
+  CAST(passes + CAST(upto <= rest AND tokens > 0 AS BIGINT) AS BIGINT) AS copies,
+  CASE WHEN passes + CAST(upto <= rest AND tokens > 0 AS BIGINT) > 0 THEN substr(md5('mix|1|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 4) END AS first_use_block
 FROM ran JOIN r ON ran.source IS NOT DISTINCT FROM r.source JOIN t ON ran.source IS NOT DISTINCT FROM t.source
 """
 
