@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators._tables import shared_folder
+
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -30,16 +31,13 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Scratch:
     """Parquet tables in the shared folder that spark.checkpoint.dir names.
 
-    A written table cuts lineage: a lost executor costs only the tasks it ran. The folder is
-    set here only where the session has none, as in tests.
+    A written table cuts lineage: a lost executor costs only the tasks it ran. Where the session
+    has no folder, a local one gets a temporary one, as in tests; a cluster must name one.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="quern-")
-            spark.conf.set("spark.checkpoint.dir", root)
-        self.spark, self.path, self.n = spark, f"{root.rstrip('/')}/quern-{name}-{uuid.uuid4().hex}", 0
+        root = shared_folder(spark)
+        self.spark, self.path, self.n = spark, f"{root}/quern-{name}-{uuid.uuid4().hex}", 0
 
     def write(self, df: DataFrame) -> DataFrame:
         """df written and read from there. The shuffle files of the write go when it ends, where
@@ -55,11 +53,17 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete the files of tables that no later step reads."""
-        jvm = self.spark._jvm
         for frame in frames:
             for name in {f.rpartition("/")[0] for f in frame.inputFiles()}:
-                path = jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+                self._delete(name)
+
+    def clear(self) -> None:
+        """Delete all tables, once what reads them has been written."""
+        self._delete(self.path)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], how: str, salts: int = SALTS) -> DataFrame:

@@ -1,6 +1,10 @@
 import hashlib
+import hmac
+import os
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from quern.llm import pii
@@ -18,6 +22,8 @@ def kind(m):
         return None
     if m.lastgroup == "card" and not 13 <= len(re.sub(r"\D", "", m[0])) <= 19:
         return None
+    if m.lastgroup == "phone" and not 7 <= len(re.sub(r"\D", "", m[0])) <= 15:
+        return None
     return m.lastgroup
 
 
@@ -28,8 +34,18 @@ def canonical(k, m):
     return m.lower() if k == "email" else m if k == "ip" else re.sub(r"\D", "", m)
 
 
-def draw(k, canon, attempt, key=pii.KEY):
-    d = hashlib.sha256(f"{key}|{k}|{canon}|{attempt}".encode()).hexdigest()
+SECRET = "a key for tests"
+
+
+@pytest.fixture(autouse=True)
+def keyed(spark):
+    spark.conf.set(pii.KEY, SECRET)
+    yield
+    spark.conf.unset(pii.KEY)
+
+
+def draw(k, canon, attempt, key=SECRET):
+    d = hmac.new(key.encode(), f"{k}|{canon}|{attempt}".encode(), hashlib.sha256).hexdigest()
     byte = lambda i: int(d[i % 31 * 2 : i % 31 * 2 + 2], 16)
     shape = lambda t: "".join(str(byte(i) % 10) if c in "0123456789" else chr(97 + byte(i) % 26) if "a" <= c <= "z" else c for i, c in enumerate(t))
     if k == "email":
@@ -61,17 +77,22 @@ def lay(k, mention, new):
 
 def brute(texts, draw=draw):
     real = {(kind(m), canonical(kind(m), m[0])) for t in texts for m in ANY.finditer(t or "") if kind(m)}
-    new, used, attempt, left = {}, set(), 0, sorted(real)
+    seen = lambda k, c: (k, c[2:] if k == "name" else c)
+    told = {c[2:]: [d for k, d in real if k == "name" and d[2:] == c[2:] and d[0] != "n"] for k, c in real if k == "name" and c[0] == "n"}
+    alias = {("name", f"n {name}"): ("name", ds[0]) for name, ds in told.items() if len(ds) == 1}
+    taken, used = {seen(*x) for x in real}, set()
+    new, attempt, left = {}, 0, sorted(real - alias.keys())
     while left:
         again = []
         for k, c in left:
             s = draw(k, c, attempt)
-            if (k, s) in used or (k, s) in real:
+            if seen(k, s) in used or seen(k, s) in taken:
                 again.append((k, c))
             else:
                 new[k, c] = s
-                used.add((k, s))
+                used.add(seen(k, s))
         left, attempt = again, attempt + 1
+    new |= {a: new[b] for a, b in alias.items()}
     put = lambda m: lay(kind(m), m[0], new[kind(m), canonical(kind(m), m[0])]) if kind(m) else m[0]
     return [None if t is None else ANY.sub(put, t) for t in texts], new
 
@@ -90,7 +111,7 @@ def test_texts_match_brute_force(spark):
     got = sorted((str(x.row.asDict()), x.text) for x in pii.replace(docs).collect())
     want, new = brute([r[1] for r in rows])
     assert [t for _, t in got] == [t for _, t in sorted((str(dict(zip(docs.columns, r))), t) for r, t in zip(rows, want))]
-    assert len(set(new.values())) == len(new)
+    assert len(set(new.values())) == len(new) - 1  # Dr. and Frau Anna Smith are one
     assert pii.replace(docs.limit(0)).count() == 0
 
 
@@ -117,8 +138,46 @@ def test_query_matches_brute_force(spark):
 def test_shapes_of_few_values_do_not_run_out(spark):
     """800 addresses of the shape l@l, which has 676 values."""
     rows = [("email", f"a@b.{x}{y}") for x in "abcdefghij" for y in (f"q{i}" for i in range(80))]
-    got = pii.surrogates(spark.createDataFrame(rows, "of string, canon string"), Scratch(spark, "pii")).collect()
+    got = pii.surrogates(spark.createDataFrame(rows, "of string, canon string"), Scratch(spark, "pii"), SECRET).collect()
     assert {(r.of, r.canon) for r in got} == set(rows) and len({r.new for r in got}) == len(rows)
-    name = pii.surrogate(F.lit("name"), F.lit("f smith"), F.col("n"))
+    name = pii.surrogate(F.lit("name"), F.lit("f smith"), F.col("n"), SECRET)
     made = [r[0] for r in spark.range(8).select(F.col("id").cast("int").alias("n")).select(name).collect()]
     assert [len(x) for x in made] == [12] * 4 + [14, 16, 18, 20] and all(x.startswith("f ") for x in made)
+
+
+def test_numbers_of_few_values_do_not_run_out(spark):
+    """700 of the 1,000 numbers of three digits, and addresses, grow until all have surrogates."""
+    rows = [(k, f"{i:03d}") for k in ("phone", "ssn") for i in range(300, 1000)] + [("card", f"41{i:02d}") for i in range(90)]
+    got = pii.surrogates(spark.createDataFrame(rows, "of string, canon string"), Scratch(spark, "pii"), SECRET).collect()
+    assert {(r.of, r.canon) for r in got} == set(rows) and len({(r.of, r.new) for r in got}) == len(rows)
+    assert not {(r.of, r.new) for r in got} & set(rows)
+    made = [r[0] for r in spark.range(6).select(pii.surrogate(F.lit("ip"), F.lit("1.2.3.4"), F.col("id").cast("int"), SECRET)).collect()]
+    assert [x.count(".") for x in made[:4]] == [3] * 4 and all(x.startswith("2001:db8:") for x in made[4:])
+    # A longer number keeps the mention's shape and adds its digits.
+    laid = spark.range(1).select(pii.laid_out(F.lit("phone"), F.lit("+1 (23) 4"), F.lit("987654"))).first()[0]
+    assert laid == "+9 (87) 654"
+
+
+def test_one_person_has_one_surrogate(spark):
+    texts = ["Dr. Anna Smith and Ms Anna Smith met", "Dr Kim, Mr Kim and Mrs Kim", "call +1679 or 1679"]
+    got = [x.text for x in pii.replace(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).orderBy("row.i").collect()]
+    one, two = re.fullmatch(r"Dr\. (\w+ \w+) and Ms (\w+ \w+) met", got[0]).groups()
+    assert one == two and one.endswith("ra")
+    assert len(set(re.findall(r"(?:Dr|Mr|Mrs) (\w+)", got[1]))) == 3 and got[2] == texts[2]
+
+
+def test_key_and_scratch(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "mail a.b@c.org")], "doc_id long, text string")
+    message = spark.range(1).select(pii.hmac("k" * 100, F.lit("héllo"))).first()[0]
+    assert message == hmac.new(b"k" * 100, "héllo".encode(), hashlib.sha256).hexdigest()
+    spark.conf.unset(pii.KEY)
+    first, second = (pii.replace(docs).first().text for _ in range(2))
+    assert first != second  # random keys
+    pii.write_replaced(docs, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).first().replaced.endswith(".example")
+    root = spark.conf.get("spark.checkpoint.dir")
+    scratch = Scratch(spark, "pii")
+    scratch.write(docs)
+    assert os.path.isdir(scratch.path)
+    scratch.clear()
+    assert not os.path.exists(scratch.path) and scratch.path.startswith(root)
