@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,7 +22,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder, and read from there."""
+    """df written once to the shared folder, and read from there. Names may repeat, and columns of
+    no type are kept."""
     path = f"{shared_folder(df.sparkSession)}/quern-settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    untyped = [c for c, t in plain.dtypes if t == "void"]
+    plain = plain.withColumns({c: F.lit(None).cast("string") for c in untyped})
+    plain.write.parquet(path)
+    back = df.sparkSession.read.schema(plain.schema).parquet(path)
+    return back.withColumns({c: F.lit(None) for c in untyped}).toDF(*df.columns)
