@@ -105,6 +105,18 @@ class GatedAttention:
         z = np.add.reduceat(a[:, None] * h, starts)
         return h, t, g, of, a, z, _sigmoid(z @ p["c"] + p["b"])
 
+    def gradients(self, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss, by parameter."""
+        p = self.p
+        h, t, g, of, a, z, score = self.forward(x, starts)
+        d = (score - y) / len(y)
+        dz = (d[:, None] * p["c"])[of]
+        da = (dz * h).sum(axis=1)
+        ds = a * (da - np.add.reduceat(a * da, starts)[of])
+        dt, dg = ds[:, None] * p["v"] * g * (1 - t * t), ds[:, None] * p["v"] * t * g * (1 - g)
+        dh = (a[:, None] * dz + dt @ p["t"].T + dg @ p["g"].T) * (1 - h * h)
+        return {"w": x.T @ dh, "wb": dh.sum(axis=0), "t": h.T @ dt, "tb": dt.sum(axis=0), "g": h.T @ dg, "gb": dg.sum(axis=0), "v": (t * g).T @ ds, "c": z.T @ d, "b": d.sum(keepdims=True)}
+
     def fit(self, bags: list[np.ndarray], y: np.ndarray) -> GatedAttention:
         if len(set(y.tolist())) < 2:
             self.constant = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.5
@@ -116,14 +128,7 @@ class GatedAttention:
         x = (x - self.mean) / self.scale
         p, m, u = self.p, {}, {}
         for step in range(1, EPOCHS + 1):
-            h, t, g, of, a, z, score = self.forward(x, starts)
-            d = (score - y) / len(y)
-            dz = (d[:, None] * p["c"])[of]
-            da = (dz * h).sum(axis=1)
-            ds = a * (da - np.add.reduceat(a * da, starts)[of])
-            dt, dg = ds[:, None] * p["v"] * g * (1 - t * t), ds[:, None] * p["v"] * t * g * (1 - g)
-            dh = (a[:, None] * dz + dt @ p["t"].T + dg @ p["g"].T) * (1 - h * h)
-            grad = {"w": x.T @ dh, "wb": dh.sum(axis=0), "t": h.T @ dt, "tb": dt.sum(axis=0), "g": h.T @ dg, "gb": dg.sum(axis=0), "v": (t * g).T @ ds, "c": z.T @ d, "b": d.sum(keepdims=True)}
+            grad = self.gradients(x, starts, y)
             for k in p:
                 e = grad[k] + DECAY * p[k]
                 m[k] = 0.9 * m.get(k, 0) + 0.1 * e
