@@ -9,9 +9,10 @@ The grid: segments are dealt to BLOCKS blocks. Vectors at distance d or less dif
 segments, hence agree in at least BLOCKS - d whole blocks; every choice of that many blocks is a
 coordinate plane of the grid, and two near vectors share a cell in one plane at least. Within a
 cell the range join keeps pairs at Manhattan distance d or less and verifies them exactly by
-Hamming distance. A cell emits a spanning forest of its links, never all its pairs. A cell with
-more than CELL_LIMIT fingerprints is dealt out as pairs of blocks of CELL_BLOCK fingerprints,
-each compared whole in a task of its own, so that every task's memory is bounded.
+Hamming distance. A cell emits a spanning forest of its links, never all its pairs. Cells are
+counted first, with partial aggregation; one of more than CELL_LIMIT fingerprints never goes to
+one task, but is dealt out as pairs of blocks of CELL_BLOCK fingerprints, each compared whole,
+so that every task's memory is bounded.
 
 Components then come from alternating large-star and small-star rounds over written tables.
 
@@ -164,18 +165,12 @@ def _forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([s[k] for s in stars], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _range_join(near: int, limit: int, columns: int):
-    """Over rows sorted by their first `columns` columns, then fp: the links within each cell.
-
-    A cell over the limit is passed on as (plane, cell, number of fingerprints) instead.
-    """
+def _range_join(near: int, columns: int):
+    """Over rows sorted by their first `columns` columns, then fp: the links within each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # of the cell that is still open
-        key, over, pending, waiting = None, 0, [], 0
-
-        def large(key, n):
-            return pa.RecordBatch.from_arrays([pa.array([0]), pa.array([n]), pa.array([int(key[0])], pa.int64()), pa.array([int(key[1])], pa.int64())], NAMES)
+        key, pending, waiting = None, [], 0
 
         def flush():
             nonlocal pending, waiting
@@ -184,18 +179,15 @@ def _range_join(near: int, limit: int, columns: int):
                 stars = _forest(_links_in_runs(np.concatenate(pending), starts, near))
                 pending, waiting = [], 0
                 if stars.num_rows:
-                    none = pa.nulls(stars.num_rows, pa.int64())
-                    yield pa.RecordBatch.from_arrays([*stars.columns, none, none], NAMES)
+                    yield stars
 
         def close():
-            nonlocal held, over, pending, waiting
-            n = over + sum(map(len, held))
-            if n > limit:
-                yield large(key, n)
-            elif n > 1:
+            nonlocal held, waiting
+            n = sum(map(len, held))
+            if n > 1:
                 pending.append(np.concatenate(held) if len(held) > 1 else held[0])
                 waiting += n
-            held, over = [], 0
+            held = []
             if waiting >= 1 << 16:
                 yield from flush()
 
@@ -207,11 +199,6 @@ def _range_join(near: int, limit: int, columns: int):
             change = np.zeros(len(fp), bool)
             for k in keys:
                 change[1:] |= k[1:] != k[:-1]
-            first = tuple(k[0] for k in keys)
-            if first != key:
-                if key is not None:
-                    yield from close()
-                key = first
             starts = np.concatenate(([0], np.flatnonzero(change), [len(fp)]))
             size = np.diff(starts)
             for r in np.flatnonzero((size > 1) | (np.arange(len(size)) == 0) | (np.arange(len(size)) == len(size) - 1)):
@@ -220,33 +207,30 @@ def _range_join(near: int, limit: int, columns: int):
                     yield from close()
                     key = here
                 held.append(fp[starts[r] : starts[r + 1]])
-                if over or sum(map(len, held)) > limit:  # counted, no longer held
-                    over, held = over + sum(map(len, held)), []
-        if key is not None:
-            yield from close()
+        yield from close()
         yield from flush()
 
     return run
 
 
-NAMES = ["a", "b", "plane", "cell"]
-FOUND = "a long, b long, plane long, cell long"
+def _compared(cells: DataFrame, near: int, *keys: str) -> DataFrame:
+    """Links (a, b) within the groups of cells by keys."""
+    dealt = cells.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys, "fp")
+    return dealt.mapInArrow(_range_join(near, len(keys)), "a long, b long")
 
 
 def links(distinct: DataFrame, scratch: Scratch, near: int = NEAR, blocks: int = BLOCKS, limit: int = CELL_LIMIT, block: int = CELL_BLOCK) -> DataFrame:
     """Links (a, b) among distinct fingerprints that span every component at distance near."""
     cells = distinct.select("fp").mapInArrow(_cells(near, blocks), "plane short, cell long, fp long")
-    dealt = cells.repartition("plane", "cell").sortWithinPartitions("plane", "cell", "fp")
-    found = scratch.write(dealt.mapInArrow(_range_join(near, limit, 2), FOUND))
-    large = found.filter("plane is not null").select(F.col("plane").cast("short").alias("plane"), "cell", F.ceil(F.col("b") / block).cast("int").alias("parts"))
-    small = found.filter("plane is null").select("a", "b")
+    sizes = cells.groupBy("plane", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+    large = scratch.write(sizes.select("plane", "cell", F.ceil(F.col("n") / block).cast("int").alias("parts")))
     if large.isEmpty():
-        return small
-    split = salted_join(cells, large, ["plane", "cell"], "inner").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    split = split.select("*", other.alias("other")).select("plane", "cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fp")
-    pairs = split.repartition("plane", "cell", "i", "j").sortWithinPartitions("plane", "cell", "i", "j", "fp")
-    return small.unionAll(pairs.mapInArrow(_range_join(near, 1 << 62, 4), FOUND).select("a", "b"))
+        return _compared(cells, near, "plane", "cell")
+    cells = salted_join(cells, large, ["plane", "cell"], "left")
+    split = cells.filter("parts is not null").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    split = split.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    return _compared(cells.filter("parts is null"), near, "plane", "cell").unionAll(_compared(split, near, "plane", "cell", "i", "j"))
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
