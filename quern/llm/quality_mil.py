@@ -1,7 +1,8 @@
 """Quality classifier: attention-based multiple-instance learning.
 
-A document is a bag of passages. Each passage is encoded by counts of its characters, words and
-repeats; gated attention weighs the encodings, and the weighted mean is scored. Weights come
+A document is a bag of passages. Each passage is encoded by counts of its own characters, words,
+lines and repeats, never of the whole document's; gated attention weighs the encodings, and the
+weighted mean is scored. A line belongs to the passage in which it starts. Weights come
 from document labels alone, by gradient descent on a bounded sample of labelled rows: SAMPLE rows
 of least hash among those that may be learned from. Every document is scored over its whole
 text in passages of PASSAGE words, however long it is; the attention over more than BAG passages
@@ -43,7 +44,7 @@ def _byte_kinds() -> np.ndarray:
 
 BYTE_KIND = _byte_kinds()
 STOPS = frozenset(w.encode() for w in STOP_WORDS)
-FEATURES = KINDS + 9
+FEATURES = KINDS + 8
 
 
 def encode(text: str | None, size: int = 0) -> np.ndarray:
@@ -67,11 +68,13 @@ def encode(text: str | None, size: int = 0) -> np.ndarray:
     twice = np.bincount(of[1:], same[1:] == same[:-1], bag) / count
     kindred = np.array([len(set(w[i : i + size])) for i in range(0, n, size)]) / count
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    whole = [np.log1p(n), len(set(w)) / n, len(lines) / n, 1 - len(set(lines)) / max(len(lines), 1)]
+    first = np.cumsum([0] + [len(x.split()) for x in lines[:-1]]) // size
+    begun = np.bincount(first, minlength=bag)
+    again = begun - np.bincount([k for k, _ in set(zip(first.tolist(), lines))], minlength=bag)
     out = np.empty((bag, FEATURES), np.float32)
     out[:, :KINDS] = kinds / np.maximum(kinds.sum(axis=1, keepdims=True), 1)
     out[:, KINDS : KINDS + 5] = np.column_stack([np.log1p(mean), np.log1p(spread), stops, twice, kindred])
-    out[:, KINDS + 5 :] = whole
+    out[:, KINDS + 5 :] = np.column_stack([np.log1p(count), begun / count, again / np.maximum(begun, 1)])
     return out
 
 

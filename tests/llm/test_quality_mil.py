@@ -49,6 +49,40 @@ def test_gradients():
     assert (fitted.score(bags) > 0.5).tolist() == [False, True, True, False] and first > 0.3
 
 
+class Mean(quality_mil.GatedAttention):
+    """The same model with equal weights for all passages."""
+
+    def __init__(self):
+        super().__init__()
+        self.p["v"][:] = 0
+
+    def gradients(self, x, starts, y):
+        return super().gradients(x, starts, y) | {"v": np.zeros(quality_mil.GATES)}
+
+
+def test_attention_finds_one_bad_passage_where_the_mean_does_not():
+    r = np.random.default_rng(5)
+
+    def bags(n):
+        y = r.integers(0, 2, n)
+        made = [r.normal(size=(r.integers(20, 120), quality_mil.FEATURES)) for _ in range(n)]
+        for bag, good in zip(made, y):
+            if not good:
+                bag[r.integers(len(bag)), 0] = 6
+        return made, y.astype(float)
+
+    (seen, y), (held, want) = bags(300), bags(300)
+    right = [np.mean((kind().fit(seen, y).score(held) > 0.5) == want) for kind in (quality_mil.GatedAttention, Mean)]
+    assert right[0] >= 0.9 and right[0] >= right[1] + 0.1, right
+
+
+def test_a_passage_is_encoded_from_itself_alone():
+    one, other = " ".join(f"a{i}" for i in range(64)), "x y\nx y\n" * 16
+    alone = quality_mil.encode(other, 64)
+    assert np.allclose(quality_mil.encode(one + "\n" + other, 64)[1], alone[0])
+    assert np.isclose(alone[0][-1], 31 / 32) and np.isclose(alone[0][-2], 0.5)
+
+
 def test_long_texts_keep_bags_small_and_whole():
     text = " ".join(f"w{i}" for i in range(100_000))
     x = quality_mil.encode(text + " !!!!")
