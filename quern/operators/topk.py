@@ -3,8 +3,9 @@
 A top-K table keeps (slot, key, n): how often a key came in each slot of time since an epoch.
 Updates only add, so late rows reach the slot they belong to. A range of time is covered by few
 aligned blocks of 2^j slots, summed beforehand; keys of a range are ranked by their sums, ties
-by key. `sketched` replaces the counts of each slot by a count-min sketch, where a table must not
-grow with the number of keys, and `stream_summary` keeps the largest keys of each slot.
+by key. Where a table must not grow with the number of keys, options of sketches (`depth`, `width`,
+`eps`, `confidence`) make it keep decaying sketches (see `hokusai`) and the candidates of each slot,
+and `streamSummary` the largest keys of each of the first slots.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ class TopKOptions:
     stream_summary: bool = False
     max_interval: int = 20
     cms: CmsParams = CmsParams()
+    sketched: bool = False
 
     KNOWN = ("key", "frequencycol", "timeseriescolumn", "timeinterval", "epoch", "size", "streamsummary", "maxinterval", "depth", "width", "eps", "confidence", "basetable")
 
@@ -47,7 +49,8 @@ class TopKOptions:
             raise ValueError("a stream summary needs timeSeriesColumn")
         if "maxinterval" in o and not summary:
             raise ValueError("maxInterval is for stream summaries")
-        made = {"frequency": o.get("frequencycol"), "time_column": o.get("timeseriescolumn"), "stream_summary": summary, "cms": cms}
+        sketched = not summary and bool({"depth", "width", "eps", "confidence"} & o.keys())
+        made = {"frequency": o.get("frequencycol"), "time_column": o.get("timeseriescolumn"), "stream_summary": summary, "cms": cms, "sketched": sketched}
         made |= {"interval_ms": interval_ms(o["timeinterval"])} if "timeinterval" in o else {}
         made |= {n: int(o[k]) for k, n in (("size", "size"), ("maxinterval", "max_interval"), ("epoch", "epoch_ms")) if k in o}
         return cls(key=o["key"], **made)
@@ -116,19 +119,6 @@ def ranked(counts: DataFrame, k: int) -> DataFrame:
     return counts.orderBy(F.desc("n"), "key").limit(k)
 
 
-def interpolated(old: DataFrame, long: DataFrame, now: DataFrame, key: DataFrame, params: CmsParams) -> DataFrame:
-    """(key, estimate) for one old slot whose sketch `old` was halved, within the long block that
-    holds it: the block's cell shared out in proportion, least over rows.
-
-    old: the slot's sketch at the width of params; long: the block's; now: sum over the block's slots.
-    """
-    spread = sketches._spread(key, params)
-    for name, sketch in (("a", old), ("m", long), ("s", now)):
-        spread = spread.join(sketch.withColumnRenamed("n", name), ["row", "col"], "left")
-    part = F.coalesce(F.col("m") * F.col("a") / F.nullif(F.col("s"), F.lit(0)), F.lit(0.0))
-    return spread.groupBy("key").agg(F.floor(F.min(part)).cast("bigint").alias("estimate"))
-
-
 def sketched(table: DataFrame, params: CmsParams) -> DataFrame:
     """(slot, row, col, n): a sketch of each slot."""
     return sketches._spread(table, params).groupBy("slot", "row", "col").agg(F.sum("n").alias("n"))
@@ -143,9 +133,45 @@ def sketched_top(table: DataFrame, sketch: DataFrame, k: int, params: CmsParams)
 
 def stream_summary(df: DataFrame, o: TopKOptions, epoch_ms: int) -> DataFrame:
     """(slot, key, estimate, delta_error) of the `size` largest keys of each of the first
-    max_interval slots. Sums spill to disk, so they are exact and the error is zero; ranking
-    keeps `size` rows per slot before the shuffle."""
-    rows = slots(df, o, epoch_ms).filter(F.col("slot") < o.max_interval)
+    max_interval slots. Counts of one pass are exact and the error is zero."""
+    made = summed(summary_part(slots(df, o, epoch_ms), o))
+    return made.select("slot", "key", F.col("n").alias("estimate"), F.col("delta").alias("delta_error"))
+
+
+def _trimmed(counts: DataFrame, o: TopKOptions, unseen: Column) -> DataFrame:
+    """The `size` largest of (slot, key, n, delta) in each slot, each with `floor`: what a key that is
+    not among them can have at most, `unseen` or the largest n left out. A row of no key carries it too,
+    so that slots add up."""
     rank = F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("n"), "key"))
-    top = rows.withColumn("rank", rank).filter(F.col("rank") <= o.size)
-    return top.select("slot", "key", F.col("n").alias("estimate"), F.lit(0).cast("bigint").alias("delta_error"))
+    top = counts.withColumn("unseen", unseen).withColumn("rank", rank).filter(F.col("rank") <= o.size + 1)
+    top = top.withColumn("floor", F.greatest(F.max(F.when(F.col("rank") > o.size, F.col("n")).otherwise(0)).over(Window.partitionBy("slot")), F.col("unseen")))
+    rows = top.filter(F.col("rank") <= o.size)
+    names = ["slot", "key", "n", "delta", "floor", "keyed"]
+    floors = rows.filter("rank = 1").select("slot", F.lit(None).cast(dict(counts.dtypes)["key"]).alias("key"), F.col("floor").alias("n"), F.lit(0).cast("bigint").alias("delta"), "floor", F.lit(False).alias("keyed"))
+    return rows.withColumn("keyed", F.lit(True)).select(*names).unionByName(floors)
+
+
+def summary_part(counts: DataFrame, o: TopKOptions) -> DataFrame:
+    """A summary of (slot, key, n): slots from max_interval on are dropped, as the table is defined."""
+    rows = counts.filter(F.col("slot") < o.max_interval).withColumn("delta", F.lit(0).cast("bigint"))
+    return _trimmed(rows, o, F.lit(0).cast("bigint"))
+
+
+def summed(parts: DataFrame, by_slot: bool = True) -> DataFrame:
+    """Summaries added up, as (slot, key, n, delta, unseen), or without the slot over all of them.
+
+    A key that a summary lacks may have had up to its floor there; n counts that in and delta says how
+    much of n it is, so n - delta <= true count <= n. Without the slot one task adds up the sums; they
+    are at most size * max_interval keys for each summary.
+    """
+    by = ["slot"] if by_slot else []
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    groups = parts.groupBy(*by, "keyed", "key").agg(F.sum("n").alias("n"), F.sum("delta").alias("delta"), F.sum("floor").alias("present"))
+    groups = groups.withColumn("unseen", F.max(F.when(~F.col("keyed"), F.col("n"))).over(whole)).filter("keyed")
+    lacking = F.col("unseen") - F.col("present")
+    return groups.select(*by, "key", (F.col("n") + lacking).alias("n"), (F.col("delta") + lacking).alias("delta"), "unseen")
+
+
+def resummed(parts: DataFrame, o: TopKOptions) -> DataFrame:
+    """Summaries merged into one of `size` keys for each slot."""
+    return _trimmed(summed(parts).withColumnRenamed("unseen", "before"), o, F.col("before"))

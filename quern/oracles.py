@@ -148,6 +148,9 @@ ORACLES["agg_min_max_qcs"] = f"WITH {SUPP} SELECT min(l_suppkey) AS a, max(l_sup
 ORACLES["agg_only_min_max"] = "SELECT min(l_suppkey) AS a, max(l_suppkey) AS b FROM lineitem"
 ORACLES["agg_count_distinct"] = "SELECT l_returnflag, count(DISTINCT l_partkey) AS n, 0.0::DOUBLE AS e, NULL::DOUBLE AS lo FROM lineitem GROUP BY 1"
 ORACLES["agg_unsupported"] = "SELECT l_returnflag, round(stddev_samp(l_quantity), 4) AS d, CAST(sum(l_linenumber) AS BIGINT) AS s FROM lineitem GROUP BY 1"
+FILTERED = {"s": ("sum", "CASE WHEN l_linenumber < 4 THEN l_quantity END"), "n": ("count", "CASE WHEN l_linenumber < 3 THEN 1 END")}
+ORACLES["agg_filter_clause"] = pick(closed(FLAG, "flag", ["l_returnflag"], FILTERED), "l_returnflag, round(s, 4) AS s, round(s_absolute_error, 4) AS e, CAST(trunc(round(n, 6)) AS BIGINT) AS n")
+ORACLES["alias_with_spaces"] = pick(closed(FLAG, "flag", ["l_returnflag"], QUANTITY), "l_returnflag, round(s, 4) AS s, round(s_absolute_error, 4) AS e")
 ORACLES["agg_group_by"] = f"WITH {FLAG} SELECT l_returnflag AS f, l_linenumber % 2 AS odd, CAST(trunc(round(sum({W}), 6)) AS BIGINT) AS n FROM flag GROUP BY 1, 2"
 ORACLES["agg_arith_over_agg"] = f"WITH {FLAG} SELECT l_returnflag, round(abs(-sum(l_quantity * {W})) / CAST(trunc(round(sum({W}), 6)) AS BIGINT) + 1, 4) AS v, round(sqrt(sum(l_quantity * {W})), 4) AS w FROM flag GROUP BY 1"
 ORACLES["agg_expr_of_errors"] = pick(closed(FLAG, "flag", ["l_returnflag"], QUANTITY), "l_returnflag, round(s, 4) AS s, round(s_upper_bound - s_lower_bound, 4) AS w", "WHERE s_absolute_error > 0")
@@ -224,15 +227,42 @@ ORACLES["topk_cms"] = f"WITH {sketch('s')}, {estimates('e', 's')} SELECT key, es
 ORACLES["topk_cms_merge"] = f"""WITH {sketch('s', f'{SLOT} < 10')}, {sketch('r', f'{SLOT} >= 10')}, {estimates('e', 's', f'{SLOT} < 10')}, {estimates('f', 'r', f'{SLOT} >= 10')}
 SELECT key, CAST(sum(estimate) AS BIGINT) AS estimated_value FROM (SELECT * FROM e UNION ALL SELECT * FROM f) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""
 ORACLES["hokusai_time_agg"] = f"SELECT CAST(l AS INTEGER) AS level, {SLOT} >> l AS block, count(DISTINCT user_id) AS n_keys, count(*) AS n FROM events, range({LEVELS}) t(l) GROUP BY 1, 2"
-ORACLES["hokusai_item_agg"] = f"""WITH {sketch('a', f'{SLOT} < 8', f'{SLOT} AS slot, ', CMS.width // 2)}, {sketch('b', f'{SLOT} >= 8', f'{SLOT} AS slot, ')}
-SELECT slot, {CMS.width // 2} AS width, count(*) AS cells, CAST(sum(n) AS BIGINT) AS n FROM a GROUP BY 1 UNION ALL SELECT slot, {CMS.width}, count(*), CAST(sum(n) AS BIGINT) FROM b GROUP BY 1"""
-ORACLES["hokusai_point"] = f"SELECT user_id AS key, count(*) AS n FROM events WHERE {SLOT} = 4 GROUP BY 1"
+#: Decaying sketches, by their definition: 3 rows of 4096 columns over hours, halved at ages 2, 4 and 8.
+HOUR = f"CAST((epoch_ms(ts) - {EPOCH}) // 3600000 AS BIGINT)"
+AGED = f"""z AS (SELECT max({HOUR}) AS z FROM events),
+w AS (SELECT t, CAST(CASE WHEN z - t < 2 THEN 4096 WHEN z - t < 4 THEN 2048 WHEN z - t < 8 THEN 1024 ELSE 512 END AS BIGINT) AS w FROM z, (SELECT CAST(unnest(range((SELECT z + 1 FROM z))) AS BIGINT) AS t)),
+d AS (SELECT {HOUR} AS t, user_id, CAST(r AS INTEGER) AS row, {cell('user_id', 'r', 4096)} AS wide FROM events, range(3) s(r)),
+own AS (SELECT t, row, wide % w AS col, count(*) AS n FROM d JOIN w USING (t) GROUP BY ALL)"""
+ORACLES["hokusai_item_agg"] = f"WITH {AGED} SELECT t AS slot, count(*) AS cells, CAST(sum(n) AS BIGINT) AS n, CAST(sum(col * n) AS BIGINT) AS col_sum FROM own GROUP BY 1"
+ORACLES["hokusai_blocks"] = f"""WITH {AGED}, l AS (SELECT CAST(l AS INTEGER) AS level, length(bin(z)) AS top, z FROM z, range(1, 21) x(l) WHERE l <= length(bin(z)))
+SELECT level, t >> level AS block, count(DISTINCT (row, wide)) AS cells, count(*) AS n FROM d, l
+WHERE level = top OR z - (((t >> level) + 1) * (1::BIGINT << level) - 1) < (2::BIGINT << level) GROUP BY 1, 2"""
+
+
+def shared(lo: int, hi: int) -> str:
+    """Slots lo to hi, all of one block at the level of the age of lo."""
+    return f"""WITH {AGED}, b AS (SELECT length(bin(z - {lo})) - 1 AS level, ({lo}::BIGINT >> (length(bin(z - {lo})) - 1)) AS block FROM z),
+k AS (SELECT DISTINCT user_id, row, wide FROM (SELECT user_id FROM events), (SELECT CAST(r AS INTEGER) AS row, r FROM range(3) s(r)), LATERAL (SELECT {cell('user_id', 'r', 4096)} AS wide)),
+m AS (SELECT row, wide, count(*) AS m FROM d, b WHERE t >> level = block GROUP BY 1, 2),
+c AS (SELECT row, w, col, sum(n) AS s, sum(CASE WHEN t BETWEEN {lo} AND {hi} THEN n ELSE 0 END) AS a FROM own JOIN w USING (t), b WHERE t >> level = block GROUP BY 1, 2, 3),
+f AS (SELECT user_id, k.row, wide, coalesce(sum(s), 0) AS s, coalesce(sum(a), 0) AS a FROM k CROSS JOIN (SELECT DISTINCT w FROM w, b WHERE t >> level = block) v LEFT JOIN c ON c.row = k.row AND c.w = v.w AND c.col = wide % v.w GROUP BY 1, 2, 3),
+g AS (SELECT user_id, min(a) AS own, min(coalesce(m * a / nullif(s, 0), 0)) AS part FROM f LEFT JOIN m USING (row, wide) GROUP BY 1)
+SELECT user_id AS key, CAST(CASE WHEN own > exp(1) * (SELECT sum(a) FROM c WHERE row = 0) / (SELECT min(w) FROM w, b WHERE t >> level = block) THEN own ELSE floor(part) END AS BIGINT) AS estimate FROM g"""
+
+
+ORACLES["hokusai_point"], ORACLES["hokusai_interpolate"] = shared(100, 100), shared(3, 50)
+NARROW_SKETCH = f"c AS (SELECT r, {cell('user_id', 'r', 64)} AS col, count(*) AS n FROM events, range(5) s(r) WHERE {SLOT} BETWEEN 2 AND 8 GROUP BY ALL)"
+ORACLES["topk_sketched"] = f"""WITH {NARROW_SKETCH}, k AS (SELECT DISTINCT user_id FROM events WHERE {SLOT} BETWEEN 2 AND 8),
+e AS (SELECT user_id AS key, min(n) AS estimated_value FROM k, range(5) s(r) JOIN c ON c.r = s.r AND col = {cell('user_id', 's.r', 64)} GROUP BY 1)
+SELECT *, CAST(greatest(floor(estimated_value - (SELECT sum(n) FROM c WHERE r = 0) * (exp(1) / 64)), 0) AS BIGINT) AS lower_bound, estimated_value AS max FROM e ORDER BY 2 DESC, 1 LIMIT 10"""
+ORACLES["topk_stream_summary"] = f"""WITH n AS (SELECT event_type = 'click' AS part, {SLOT} AS slot, user_id, count(*) AS n FROM events WHERE {SLOT} < 7 GROUP BY 1, 2, 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY part, slot ORDER BY n DESC, user_id) AS i FROM n),
+f AS (SELECT part, slot, coalesce(max(n) FILTER (i > 20), 0) AS floor FROM o GROUP BY 1, 2),
+k AS (SELECT DISTINCT slot, user_id FROM o WHERE i <= 20)
+SELECT k.user_id, CAST(sum(coalesce(o.n, floor)) AS BIGINT) AS n, CAST(sum(CASE WHEN o.n IS NULL THEN floor ELSE 0 END) AS BIGINT) AS delta, make_timestamp(({EPOCH} + k.slot * {DAY}) * 1000) AS start
+FROM k JOIN f USING (slot) LEFT JOIN o ON o.part = f.part AND o.slot = k.slot AND o.user_id = k.user_id AND o.i <= 20 GROUP BY k.slot, 1"""
 ORACLES["hokusai_till"] = f"SELECT user_id AS key, count(*) AS n FROM events WHERE {SLOT} >= (SELECT max({SLOT}) - 6 FROM events) GROUP BY 1"
 ORACLES["hokusai_between"] = f"SELECT user_id AS key, count(*) AS n FROM events WHERE {SLOT} BETWEEN 3 AND 17 GROUP BY 1"
-ORACLES["hokusai_interpolate"] = f"""WITH {sketch('m', f'{SLOT} BETWEEN 8 AND 11')}, {sketch('o', f'{SLOT} = 9')}
-SELECT user_id AS key, CAST(floor(min(coalesce(m.n * o.n / m.n, 0))) AS BIGINT) AS estimate
-FROM (SELECT DISTINCT user_id FROM events WHERE {SLOT} BETWEEN 8 AND 11), range({CMS.depth}) t(r)
-LEFT JOIN m ON m.row = r AND m.col = {cell('user_id', 'r', CMS.width)} LEFT JOIN o ON o.row = r AND o.col = {cell('user_id', 'r', CMS.width)} GROUP BY 1"""
 ORACLES["hokusai_late_data"] = f"SELECT {SLOT} AS slot, count(*) AS n, count(DISTINCT user_id) AS n_keys FROM events GROUP BY 1"
 ORACLES["interval_tracker"] = "SELECT * FROM (VALUES " + ", ".join(f"({a}::BIGINT, {b}::BIGINT, '{' '.join(f'{v}:{k}' for v, k in cover(a, b, LEVELS))}')" for a in range(8) for b in range(a, 16)) + ") v(first, last, blocks)"
 ORACLES["stream_summary"] = f"""SELECT slot, key, estimate, 0::BIGINT AS delta_error FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY estimate DESC, key) AS r

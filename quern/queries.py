@@ -348,6 +348,16 @@ def agg_unsupported(spark, sf_dir):
     return rounded(engine(spark, sf_dir, "flag").sql("SELECT l_returnflag, stddev_samp(l_quantity) AS d, sum(l_linenumber) AS s FROM lineitem GROUP BY l_returnflag WITH ERROR 0.1"))
 
 
+@query
+def agg_filter_clause(spark, sf_dir):
+    return rounded(engine(spark, sf_dir, "flag").sql("SELECT l_returnflag, sum(l_quantity) FILTER (WHERE l_linenumber < 4) AS s, absolute_error(s) AS e, count(*) FILTER (WHERE l_linenumber < 3) AS n FROM lineitem GROUP BY l_returnflag WITH ERROR 0.9 BEHAVIOR 'do_nothing'"))
+
+
+@query
+def alias_with_spaces(spark, sf_dir):
+    return rounded(engine(spark, sf_dir, "flag").sql("SELECT l_returnflag, sum(l_quantity) AS `the sum`, absolute_error(`the sum`) AS `its error` FROM lineitem GROUP BY l_returnflag HAVING `the sum` > 0 ORDER BY `the sum` WITH ERROR 0.9 BEHAVIOR 'do_nothing'").toDF("l_returnflag", "s", "e"))
+
+
 @query
 def agg_group_by(spark, sf_dir):
     return engine(spark, sf_dir, "flag").sql("SELECT l_returnflag AS f, l_linenumber % 2 AS odd, count(*) AS n FROM lineitem GROUP BY 1, odd WITH ERROR")
@@ -626,18 +636,56 @@ def hokusai_time_agg(spark, sf_dir):
     return topk.dyadic(_slots(spark, sf_dir), LEVELS).groupBy("level", "block").agg(F.count("*").alias("n_keys"), F.sum("n").alias("n"))
 
 
+DECAYING = CmsParams(3, 4096)
+
+
+def _decaying(spark, sf_dir):
+    """A top-K table of decaying sketches, filled by a late and an early insert."""
+    e = engine(spark, sf_dir, tables=("events",))
+    e.sql(f"CREATE TABLE hot USING topk OPTIONS (key 'user_id', timeSeriesColumn 'ts', timeInterval '1h', epoch '{EPOCH}', depth '{DECAYING.depth}', width '{DECAYING.width}')")
+    for part in ("NOT event_type = 'click'", "event_type = 'click'"):
+        e.insert_into("hot", spark.table("events").filter(part))
+    return e
+
+
+def _users(spark):
+    return spark.table("events").select(F.col("user_id").alias("key"))
+
+
 @query
 def hokusai_item_agg(spark, sf_dir):
-    counts = _slots(spark, sf_dir)
-    wide = topk.sketched(counts.filter("slot >= 8"), CMS).withColumn("width", F.lit(CMS.width))
-    half = CmsParams(CMS.depth, CMS.width // 2)
-    old = topk.sketched(counts.filter("slot < 8"), CMS).groupBy("slot", "row", (F.col("col") % half.width).alias("col")).agg(F.sum("n").alias("n")).withColumn("width", F.lit(half.width))
-    return old.unionByName(wide).groupBy("slot", "width").agg(F.count("*").alias("cells"), F.sum("n").alias("n"))
+    e = _decaying(spark, sf_dir)
+    cells = e.registry.sketch_topk("hot").filter("level = 0")
+    return cells.groupBy(F.col("block").alias("slot")).agg(F.count("*").alias("cells"), F.sum("n").alias("n"), F.sum(F.col("col") * F.col("n")).alias("col_sum"))
+
+
+@query
+def hokusai_blocks(spark, sf_dir):
+    e = _decaying(spark, sf_dir)
+    return e.registry.sketch_topk("hot").filter("level > 0").groupBy("level", "block").agg(F.count("*").alias("cells"), F.sum("n").alias("n"))
 
 
 @query
 def hokusai_point(spark, sf_dir):
-    return _slots(spark, sf_dir).filter("slot = 4").select("key", "n")
+    e = _decaying(spark, sf_dir)
+    return e.registry.estimate_topk("hot", _users(spark), 100, 100)
+
+
+@query
+def topk_sketched(spark, sf_dir):
+    e = engine(spark, sf_dir, tables=("events",))
+    e.sql(f"CREATE TOPK TABLE hot ON events OPTIONS (key 'user_id', timeSeriesColumn 'ts', timeInterval '{DAY}ms', epoch '{EPOCH}', depth '5', width '64')")
+    top = e.query_approx_topk("hot", 10, EPOCH + 2 * DAY, EPOCH + 8 * DAY)
+    return top.select("key", "estimated_value", "error_bounds.lower_bound", "error_bounds.max")
+
+
+@query
+def topk_stream_summary(spark, sf_dir):
+    e = engine(spark, sf_dir, tables=("events",))
+    e.sql(f"CREATE TABLE hot USING topk OPTIONS (key 'user_id', timeSeriesColumn 'ts', timeInterval '{DAY}ms', epoch '{EPOCH}', streamSummary 'true', maxInterval '7', size '20')")
+    for part in ("event_type = 'click'", "NOT event_type = 'click'"):
+        e.insert_into("hot", spark.table("events").filter(part))
+    return e.sql("SELECT user_id, EstimatedValue AS n, DeltaError AS delta, StartTime AS start FROM hot")
 
 
 @query
@@ -654,10 +702,9 @@ def hokusai_between(spark, sf_dir):
 
 @query
 def hokusai_interpolate(spark, sf_dir):
-    counts = _slots(spark, sf_dir).filter("slot BETWEEN 8 AND 11")
-    cells = topk.sketched(counts, CMS)
-    whole = cells.groupBy("row", "col").agg(F.sum("n").alias("n"))
-    return topk.interpolated(cells.filter("slot = 9").drop("slot"), whole, whole, counts.select("key"), CMS)
+    """Slots that fill no block of the oldest half, so that they are shared out of it."""
+    e = _decaying(spark, sf_dir)
+    return e.registry.estimate_topk("hot", _users(spark), 3, 50)
 
 
 @query

@@ -360,12 +360,19 @@ class AqpSession:
     # Top-K
 
     def topk_view(self, name: str) -> DataFrame:
-        """A top-K table for SQL: key, EstimatedValue, ErrorBoundsInfo, StartTime, EndTime by slot."""
+        """A top-K table for SQL: key, EstimatedValue, ErrorBoundsInfo (of a stream summary: DeltaError),
+        StartTime, EndTime by slot. Sketches bound a slot above only."""
         table, o = self.registry.topk(name), self.registry.topk(name).options
         rows = self.registry.read_topk(name)
         start = F.col("slot") * o.interval_ms + (table.epoch_ms or 0)
-        bounds = F.struct(F.col("n").alias("lowerBound"), F.col("n").alias("estimate"), F.col("n").alias("max"), F.lit(1.0).alias("confidence"))
-        return rows.select(F.col("key").alias(o.key if o.key.isidentifier() else "key"), F.col("n").alias("EstimatedValue"), bounds.alias("ErrorBoundsInfo"), F.timestamp_millis(start).alias("StartTime"), F.timestamp_millis(start + o.interval_ms).alias("EndTime"))
+        if o.stream_summary:
+            error = F.col("delta").alias("DeltaError")
+        else:
+            bounds = F.col("n").alias("lowerBound"), F.col("n").alias("estimate"), F.col("n").alias("max"), F.lit(1.0).alias("confidence")
+            if o.sketched:
+                bounds = F.lit(None).cast("bigint").alias("lowerBound"), *bounds[1:3], F.lit(o.cms.confidence).alias("confidence")
+            error = F.struct(*bounds).alias("ErrorBoundsInfo")
+        return rows.select(F.col("key").alias(o.key if o.key.isidentifier() else "key"), F.col("n").alias("EstimatedValue"), error, F.timestamp_millis(start).alias("StartTime"), F.timestamp_millis(start + o.interval_ms).alias("EndTime"))
 
     def query_approx_topk(self, name: str, k: int | None = None, start=None, end=None) -> DataFrame:
         """The k largest keys; times are epoch milliseconds or timestamp text, and null is open."""

@@ -14,7 +14,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import topk
+from ..operators import hokusai, topk
 from ..operators.sampling import SampleOptions, stratified_sample
 from ..operators.topk import TopKOptions
 
@@ -37,6 +37,8 @@ class TopKTable:
     version: int = 0
     epoch_ms: int | None = None
     done: list[int] = field(default_factory=list)
+    last: int | None = None  # the newest slot, of sketches
+    top: int = 0  # the top level of the first part, of sketches
 
 
 #: Batches of streams are numbered from here on.
@@ -190,43 +192,115 @@ class Registry:
         now = F.timestamp_millis(F.lit(table.epoch_ms)) if not o.time_column else None
         if batch_id is None:
             table.version += 1
-        self._append(table, topk.slots(rows, o, table.epoch_ms, now), f"part={table.version}" if batch_id is None else f"stream={batch_id}")
+        self._append(table, self._part(o, topk.slots(rows, o, table.epoch_ms, now)), f"part={table.version}" if batch_id is None else f"stream={batch_id}")
+        if o.sketched:
+            newest = self.spark.read.parquet(table.paths[-1]).agg(F.max("block")).first()[0]
+            table.last = max((x for x in (table.last, newest) if x is not None), default=None)
         if len(table.paths) > PARTS:
             old, table.paths = table.paths[:-1], table.paths[-1:]
             table.version += 1
-            self._append(table, topk.merged(self.spark.read.parquet(*old)), f"part={table.version}")
+            self._append(table, self._compact(table, self.spark.read.parquet(*old)), f"part={table.version}")
+            if o.sketched and table.last is not None:
+                table.top = hokusai.top_level(table.last, o.cms)
             table.done = [*table.done, *[int(p.rpartition("=")[2]) for p in old if "/stream=" in p]][-PARTS:]
         self._save()
 
+    def _part(self, o: TopKOptions, counts: DataFrame) -> DataFrame:
+        """What an insert writes: counts as they are, a summary, or cells and candidates.
+
+        A slot's candidates are the 2 * size largest keys of each insert. A key with more than
+        1 / (2 * size) of the slot's rows has as much of one insert's, and is a candidate from then on.
+        """
+        if o.stream_summary:
+            return topk.summary_part(counts, o)
+        if not o.sketched:
+            return counts
+        return hokusai.raw(counts, o.cms).unionByName(self._as_cells(hokusai.largest(counts, 2 * o.size)), allowMissingColumns=True)
+
+    @staticmethod
+    def _as_cells(candidates: DataFrame) -> DataFrame:
+        """Candidates (slot, key, n) as rows beside the cells; they have no level."""
+        return candidates.select(F.col("slot").alias("block"), "key", "n")
+
+    def _compact(self, table: TopKTable, parts: DataFrame) -> DataFrame:
+        o = table.options
+        if o.stream_summary:
+            return topk.resummed(parts, o)
+        if not o.sketched:
+            return topk.merged(parts)
+        if table.last is None:
+            return parts
+        state, candidates = self._sketch(table, parts)
+        best = hokusai.largest(hokusai.slot_estimates(state, candidates, o.cms, table.last), 2 * o.size)
+        return state.unionByName(self._as_cells(best), allowMissingColumns=True)
+
+    def _sketch(self, table: TopKTable, parts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The state of a table's sketches, and the candidates (slot, key)."""
+        parts = self.spark.read.parquet(*table.paths) if parts is None else parts
+        state = hokusai.folded(parts.filter("level IS NOT NULL").select(*hokusai.CELLS), table.options.cms, table.last, table.top)
+        return state, parts.filter("level IS NULL").select(F.col("block").alias("slot"), "key").distinct()
+
     def _append(self, table: TopKTable, counts: DataFrame, part: str) -> None:
         """Counts only add up, so an insert writes its own and reads nothing."""
         path = f"{self.root}/{table.name.lower()}/{part}"
         counts.write.mode("overwrite").parquet(path)
-        if path not in table.paths:
-            table.paths.append(path)
+        if path in table.paths:
+            table.paths.remove(path)
+        table.paths.append(path)
 
     def read_topk(self, name: str) -> DataFrame:
+        """(slot, key, n) of a table, n being estimated from sketches; of a stream summary with delta."""
         table = self.topk(name)
-        if not table.paths:
-            return self.spark.createDataFrame([], "slot bigint, key string, n bigint")
+        o = table.options
+        if not table.paths or o.sketched and table.last is None:
+            return self.spark.createDataFrame([], "slot bigint, key string, n bigint" + ", delta bigint" * o.stream_summary)
+        if o.stream_summary:
+            return topk.summed(self.spark.read.parquet(*table.paths)).drop("unseen")
+        if o.sketched:
+            return hokusai.slot_estimates(*self._sketch(table), o.cms, table.last)
         return topk.merged(self.spark.read.parquet(*table.paths).select("slot", "key", "n"))
 
+    def sketch_topk(self, name: str) -> DataFrame:
+        """The cells (level, block, row, col, n) of a table of sketches, folded."""
+        return self._sketch(self.topk(name))[0]
+
+    def estimate_topk(self, name: str, keys: DataFrame, first: int, end: int) -> DataFrame:
+        """(key, estimate) of keys (key) over the slots first to end of a table of sketches."""
+        table = self.topk(name)
+        if not table.options.sketched:
+            raise ValueError(f"top-K table {name} has no sketches; give depth and width, or eps and confidence")
+        if table.last is None:
+            return keys.select("key").distinct().withColumn("estimate", F.lit(0).cast("bigint"))
+        return hokusai.estimates(self._sketch(table)[0], keys, first, end, table.options.cms, table.last)
+
     def query_topk(self, name: str, k: int | None = None, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
-        """key, estimated_value and error_bounds of the k largest keys between two times."""
+        """key, estimated_value and error_bounds (of a stream summary: delta_error) of the k largest
+        keys between two times."""
         table, o = self.topk(name), self.topk(name).options
-        rows = self.read_topk(name)
         epoch, width = table.epoch_ms or 0, o.interval_ms
-        if start_ms is not None:
-            rows = rows.filter(F.col("slot") >= (start_ms - epoch) // width)
-        if end_ms is not None:
-            rows = rows.filter(F.col("slot") <= (end_ms - epoch) // width)
-        top = topk.ranked(rows.groupBy("key").agg(F.sum("n").alias("n")), k or o.size)
-        bounds = F.struct(F.col("n").alias("lower_bound"), F.col("n").alias("estimate"), F.col("n").alias("max"), F.lit(1.0).alias("confidence"))
+        first = (start_ms - epoch) // width if start_ms is not None else 0
+        end = (end_ms - epoch) // width if end_ms is not None else None
+        within = lambda c: (F.col(c) >= first) & (F.col(c) <= end if end is not None else F.lit(True))
+        if o.stream_summary and table.paths:
+            rows = topk.summed(self.spark.read.parquet(*table.paths).filter(within("slot")), by_slot=False)
+            return topk.ranked(rows, k or o.size).select("key", F.col("n").alias("estimated_value"), F.col("delta").alias("delta_error"))
+        low, confidence = F.col("n"), 1.0
+        if o.sketched and table.last is not None:
+            state, candidates = self._sketch(table)
+            end = table.last if end is None else end
+            counts = hokusai.estimates(state, candidates.filter(within("slot")), first, end, o.cms, table.last).withColumnRenamed("estimate", "n")
+            total = state.filter((F.col("level") == 0) & (F.col("row") == 0) & within("block")).agg(F.sum("n")).first()[0] or 0
+            low, confidence = F.greatest(F.floor(F.col("n") - total * o.cms.eps), F.lit(0)).cast("bigint"), o.cms.confidence
+        else:
+            counts = self.read_topk(name).filter(within("slot")).groupBy("key").agg(F.sum("n").alias("n"))
+        top = topk.ranked(counts, k or o.size)
+        bounds = F.struct(low.alias("lower_bound"), F.col("n").alias("estimate"), F.col("n").alias("max"), F.lit(confidence).alias("confidence"))
         return top.select("key", F.col("n").alias("estimated_value"), bounds.alias("error_bounds"))
 
     def truncate_topk(self, name: str) -> None:
         table = self.topk(name)
         table.paths, table.done, table.epoch_ms = [], [], table.options.epoch_ms
+        table.last, table.top = None, 0
         self._save()
 
     def drop_topk(self, name: str, missing_ok: bool = False) -> None:
