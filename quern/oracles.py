@@ -148,6 +148,7 @@ ORACLES["agg_min_max_qcs"] = f"WITH {SUPP} SELECT min(l_suppkey) AS a, max(l_sup
 ORACLES["agg_only_min_max"] = "SELECT min(l_suppkey) AS a, max(l_suppkey) AS b FROM lineitem"
 ORACLES["agg_count_distinct"] = "SELECT l_returnflag, count(DISTINCT l_partkey) AS n, 0.0::DOUBLE AS e, NULL::DOUBLE AS lo FROM lineitem GROUP BY 1"
 ORACLES["agg_unsupported"] = "SELECT l_returnflag, round(stddev_samp(l_quantity), 4) AS d, CAST(sum(l_linenumber) AS BIGINT) AS s FROM lineitem GROUP BY 1"
+ORACLES["join_two_samples"] = f"WITH {FLAG} SELECT l_returnflag, round(sum(l_quantity * {W}), 4) AS q FROM flag JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"
 FILTERED = {"s": ("sum", "CASE WHEN l_linenumber < 4 THEN l_quantity END"), "n": ("count", "CASE WHEN l_linenumber < 3 THEN 1 END")}
 ORACLES["agg_filter_clause"] = pick(closed(FLAG, "flag", ["l_returnflag"], FILTERED), "l_returnflag, round(s, 4) AS s, round(s_absolute_error, 4) AS e, CAST(trunc(round(n, 6)) AS BIGINT) AS n")
 ORACLES["alias_with_spaces"] = pick(closed(FLAG, "flag", ["l_returnflag"], QUANTITY), "l_returnflag, round(s, 4) AS s, round(s_absolute_error, 4) AS e")

@@ -348,6 +348,14 @@ def agg_unsupported(spark, sf_dir):
     return rounded(engine(spark, sf_dir, "flag").sql("SELECT l_returnflag, stddev_samp(l_quantity) AS d, sum(l_linenumber) AS s FROM lineitem GROUP BY l_returnflag WITH ERROR 0.1"))
 
 
+@query
+def join_two_samples(spark, sf_dir):
+    """Both tables have a sample; the first one's stands in, the other table is read as it is."""
+    e = engine(spark, sf_dir, "flag", tables=("lineitem", "orders"))
+    e.registry.create_sample("by_status", SampleOptions(("o_orderstatus",), reservoir=20), "orders")
+    return rounded(e.sql("SELECT l_returnflag, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_returnflag WITH ERROR 0.9 BEHAVIOR 'do_nothing'"))
+
+
 @query
 def agg_filter_clause(spark, sf_dir):
     return rounded(engine(spark, sf_dir, "flag").sql("SELECT l_returnflag, sum(l_quantity) FILTER (WHERE l_linenumber < 4) AS s, absolute_error(s) AS e, count(*) FILTER (WHERE l_linenumber < 3) AS n FROM lineitem GROUP BY l_returnflag WITH ERROR 0.9 BEHAVIOR 'do_nothing'"))
