@@ -30,13 +30,13 @@ class Clause:
 def check_error(error: float) -> float:
     """Negative turns approximation off."""
     if error == 0 or error >= 1:
-        raise ValueError(f"please specify error within range of 0 to 1, not {error}")
+        raise ValueError(f"the error must lie between 0 and 1; it is {error}")
     return error
 
 
 def check_confidence(confidence: float) -> float:
     if not 0 < confidence < 1:
-        raise ValueError(f"please specify confidence within range of 0 to 1, not {confidence}")
+        raise ValueError(f"the confidence must lie between 0 and 1; it is {confidence}")
     return confidence
 
 

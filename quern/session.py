@@ -191,7 +191,7 @@ class AqpSession:
             return None
         explicit = [r for r in refs if r.name in self.registry.samples]
         if len(explicit) > 1:
-            raise ValueError("a join between two sample tables is not supported")
+            raise ValueError("only one sample table may be named in a FROM clause")
         inner_only = all(r.join in ("", "inner", "cross") for r in refs)
         for i, ref in enumerate(refs):
             if not self._may_stand(refs, i):
