@@ -651,7 +651,7 @@ def _decaying(spark, sf_dir):
     """A top-K table of decaying sketches, filled by a late and an early insert."""
     e = engine(spark, sf_dir, tables=("events",))
     e.sql(f"CREATE TABLE hot USING topk OPTIONS (key 'user_id', timeSeriesColumn 'ts', timeInterval '1h', epoch '{EPOCH}', depth '{DECAYING.depth}', width '{DECAYING.width}')")
-    for part in ("NOT event_type = 'click'", "event_type = 'click'"):
+    for part in ("NOT event_type <=> 'click'", "event_type = 'click'"):
         e.insert_into("hot", spark.table("events").filter(part))
     return e
 

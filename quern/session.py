@@ -14,6 +14,7 @@ from .operators import contract, estimators
 from .operators._tables import shared_folder
 from .operators.estimators import Agg
 from .operators.sampling import CARRIED, HIDDEN, ROW, STRATUM, SampleOptions, stratified_sample
+from .operators.topk import millis
 from .plans import clause as clauses
 from .plans import rewrite, selection, text
 from .plans.clause import Settings
@@ -380,6 +381,6 @@ class AqpSession:
         def ms(x):
             if x is None or isinstance(x, int):
                 return x
-            return self.spark.sql(f"SELECT unix_millis(timestamp '{x}') AS t").first().t
+            return self.spark.range(1).select(millis(F.expr(f"timestamp '{x}'")).alias("t")).first().t
 
         return self.registry.query_topk(name, k, ms(start), ms(end))
