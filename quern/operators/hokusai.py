@@ -1,4 +1,4 @@
-"""Decaying sketches of slots of time: the state of a top-K table that must not grow with its keys.
+"""Decaying sketches of slots of time: the state of a top-K table whose counts must not grow with its keys.
 
 The state is a table of cells (level, block, row, col, n). Cells of level -1 are slots as they
 came in, at full width, not yet folded. `folded` adds them to
